@@ -2,11 +2,13 @@
 
 import corpus_pipeline
 
-from . import decontaminate, media_ogg, mixing, token_counts, warc
+from . import decontaminate, media_ogg, mixing, ngram_join, suffix_dedup, token_counts, warc
 
 QUERIES = {
+    "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
     "op3_warc": warc.op3_warc,
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op8_mixing": mixing.op8_mixing,
     "op9_media_ogg": media_ogg.op9_media_ogg,
     "op10_token_counts": token_counts.op10_token_counts,
