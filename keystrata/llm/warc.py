@@ -156,9 +156,11 @@ def read_records(index: DataFrame, payloads: bool = False, most: int = READ_BYTE
         types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
         return pa.record_batch([pa.array(v, t) for v, t in zip(found.values(), types, strict=True)], list(found))
 
-    # a stretch of a file is one task's; within it, ranges come in the order of the file
-    rows = index.select("file", "offset", "length", F.floor(F.col("offset") / (8 * most)).alias("stretch"))
-    rows = rows.repartition("file", "stretch").sortWithinPartitions("file", "offset").drop("stretch")
+    # a stretch of a file is one task's; within it, ranges come in the order of the file. Rows are
+    # small and what they stand for is not, so the number of tasks follows the bytes to read
+    rows = index.select("file", "offset", "length", F.floor(F.col("offset") / (2 * most)).alias("stretch"))
+    tasks = (index.agg(F.sum("length")).first()[0] or 0) // (2 * most) + 1
+    rows = rows.repartition(tasks, "file", "stretch").sortWithinPartitions("file", "offset").drop("stretch")
     out = rows.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
     return out if payloads else out.drop("payload")
 
