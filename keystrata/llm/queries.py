@@ -2,13 +2,15 @@
 
 import corpus_pipeline
 
-from . import decontaminate, media_ogg, mixing, ngram_join, suffix_dedup, token_counts, warc
+from . import decontaminate, media_ogg, mixing, ngram_join, quality_crf, suffix_dedup, token_counts, toxicity_chain, warc
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
     "op3_warc": warc.op3_warc,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
+    "op6_quality_crf": quality_crf.op6_quality_crf,
+    "op7_toxicity_chain": toxicity_chain.op7_toxicity_chain,
     "op8_mixing": mixing.op8_mixing,
     "op9_media_ogg": media_ogg.op9_media_ogg,
     "op10_token_counts": token_counts.op10_token_counts,
