@@ -127,7 +127,8 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id and n_tokens, by way of flat token files."""
     order = write_token_files(docs, shared_dir(docs.sparkSession, "tokens"), vocabulary)
     counts = count_tokens(order)
-    return order.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    # the order is small in its file and large in memory, so it is not for broadcasting
+    return order.hint("merge").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
