@@ -13,10 +13,11 @@ Scale:
   in fixed-size counters. They only order the columns, so that a passage that thousands of
   documents share is in no first block that has rarer columns; the HEAVIEST of them at most are
   broadcast, and which ones has no effect on the result.
-* Links are looked for in three rounds, and pairs in the same component are never compared again:
-  neighbours in streams of documents with the same rarest shared column (hot columns are salted
-  over tasks), then representatives of components that meet in a column, then all remaining pairs
-  across components. A group of thousands of near copies so costs some comparisons a document.
+* Pairs are counted over columns of at most FREQUENT sets only. Columns of more sets are looked
+  through in rounds, and pairs in the same component are never compared again: neighbours in
+  streams of documents with the same rarest such column (hot columns are salted over tasks), then
+  representatives of components that meet in a column, then all remaining pairs across components.
+  A group of thousands of near copies so costs some comparisons a document.
 
 Defined results: null texts and texts without words have an empty set and link with nothing;
 fewer than five words are one n-gram; equal sets link; repeated rows are rows of the same set;
@@ -197,26 +198,44 @@ def jaccard_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD)
                 first, last, columns, node = ordered_sets(data, offsets, heavy.value, n)
                 take = prefix_length(last - first, threshold)
                 at = np.repeat(first - np.cumsum(take) + take, take) + np.arange(take.sum())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(take))), pa.int32()), pa.array(columns[at].view(np.int64)))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(take))), pa.int32()), pa.array((columns[at] ^ (U(1) << U(63))).view(np.int64)))  # signed order is column order
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(last - first, pa.int64()), pa.array(node), lists], ["doc_id", "n", "node", "prefix"])
 
     def whole_sets(batches):
         for batch in batches:
-            keys = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             for a, b, data, offsets in blocks(batch.column(1)):
                 first, last, columns, node = ordered_sets(data, offsets, heavy.value, n)
                 blobs = [columns[i:j].tobytes() for i, j in zip(first, last, strict=True)]
-                yield pa.record_batch([pa.array(node), pa.array(blobs, pa.binary()), pa.array(keys[0][a:b]), pa.array(keys[1][a:b])], ["node", "columns", "token", "salt"])
+                yield pa.record_batch([pa.array(node), pa.array(blobs, pa.binary()), batch.column(2).slice(a, b - a), batch.column(3).slice(a, b - a)], ["node", "columns", "token", "salt"])
 
     rows = written(texts.mapInArrow(first_blocks, "doc_id long, n long, node long, prefix array<long>"), "ngram-rows")
-    sets = rows.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"))
+    sets = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     posting = sets.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     posting = posting.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("times > 1")
     posting = written(posting.select("token", "node", F.col("n").cast("int"), F.col("pos").cast("int"), F.col("times").cast("int")), "ngram-posting")
 
-    # one row a set that shares a column of its first block: its rarest such column
-    active = posting.groupBy("node").agg(F.min(F.struct("pos", "token", "times")).alias("x"))
+    # product of the first blocks over columns of few sets, and the bound on what can still come
+    t = threshold
+    few, many = posting.where(F.col("times") <= FREQUENT), posting.where(F.col("times") > FREQUENT)
+    size_bound = (100 * F.col("na") >= t * F.col("nb")) & (100 * F.col("nb") >= t * F.col("na"))
+    in_many = many.groupBy("node").agg(F.count(F.lit(1)).alias("others"))
+    last = rows.where("n > 0").groupBy("node").agg(F.max(F.element_at("prefix", -1)).alias("last"))
+    last = last.join(in_many, "node", "left").select("node", "last", F.coalesce("others", F.lit(0)).alias("others"))
+    beyond = lambda n: F.ceil(F.col(n) * t / 100) - 1  # noqa: E731  columns of a set after its first block
+    need = t * (F.col("na") + F.col("nb"))
+    counts = few.select("token", F.col("node").alias("a"), F.col("n").alias("na")).join(few.select("token", F.col("node").alias("b"), F.col("n").alias("nb")), "token")
+    counts = counts.where((F.col("a") < F.col("b")) & size_bound).groupBy("a", "b").agg(F.count(F.lit(1)).alias("count"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    counts = counts.join(last.toDF("a", "last_a", "others_a"), "a").join(last.toDF("b", "last_b", "others_b"), "b")
+    # up to where the first block that ends first ends, the count is complete
+    rest = F.when(F.col("last_a") < F.col("last_b"), beyond("na")).when(F.col("last_a") > F.col("last_b"), beyond("nb")).otherwise(F.least(beyond("na"), beyond("nb")))
+    counts = counts.where((100 + t) * (F.col("count") + F.least("others_a", "others_b") + rest) >= need)
+    candidates = written(counts.select("a", "b"), "ngram-candidates")
+
+    # columns of many sets are looked through by neighbourhoods: one row a set, with its rarest such column
+    active = many.groupBy("node").agg(F.min(F.struct("pos", "token", "times")).alias("x"))
     active = active.select("node", "x.token", F.pmod(F.xxhash64("node"), F.ceil(F.col("x.times") / STREAM_ROWS)).alias("salt"))
+    paired = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    active = active.join(paired, "node", "full")
     ids = rows.select("node", "doc_id").join(active, "node").groupBy("node", "token", "salt").agg(F.min("doc_id").alias("id"))
     ids = written(ids, "ngram-active")
     if ids.count() <= BROADCAST_ROWS:
@@ -248,19 +267,22 @@ def jaccard_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD)
             yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def links(pairs: DataFrame) -> DataFrame:
-        sets = matrix.select("node", "columns")
+        pairs = written(pairs, "ngram-pairs")
+        ends = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ngram-ends")
+        ends = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
+        sets = matrix.select("node", "columns").join(ends, "node", "left_semi")
         both = pairs.join(sets.toDF("a", "columns_a"), "a").join(sets.toDF("b", "columns_b"), "b")
         return both.select("a", "b", "columns_a", "columns_b").mapInArrow(verify, "a long, b long")
 
     def labelled(edges: DataFrame) -> DataFrame:
         """The posting of columns that lie in several components, with each row's component."""
         labels = connected_components(edges)
-        p = posting.join(labels, "node", "left").select("token", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
+        p = many.join(labels, "node", "left").select("token", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
         several = p.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
         return written(p.join(several, "token"), "ngram-labelled")
 
-    near = matrix.repartition("token", "salt").sortWithinPartitions("token", "salt", F.octet_length("columns"), "node").mapInArrow(stream, "a long, b long")
-    edges = written(near, "ngram-links")
+    near = matrix.where("token is not null").repartition("token", "salt").sortWithinPartitions("token", "salt", F.octet_length("columns"), "node").mapInArrow(stream, "a long, b long")
+    edges = written(near.unionByName(links(candidates)), "ngram-links")
 
     open_columns = labelled(edges)
     # components that meet in a column, in a chain of one set each
@@ -272,8 +294,6 @@ def jaccard_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD)
 
     open_columns = labelled(edges)
     left, right = open_columns.toDF("token", "a", "na", "pa", "la"), open_columns.toDF("token", "b", "nb", "pb", "lb")
-    t = threshold
-    size_bound = (100 * F.col("na") >= t * F.col("nb")) & (100 * F.col("nb") >= t * F.col("na"))
     rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # columns from this one on
     overlap_bound = (100 + t) * rest >= t * (F.col("na") + F.col("nb"))
     pairs = left.join(right, "token").where((F.col("la") < F.col("lb")) & size_bound & overlap_bound).select("a", "b").distinct()
