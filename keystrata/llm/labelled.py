@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 FOLDS = 5
 MOST_DOCS = 4000
+MOST_BYTES = 20_000
 
 
 def held_out(doc_id="doc_id"):
@@ -14,17 +15,29 @@ def held_out(doc_id="doc_id"):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = MOST_DOCS) -> tuple[list[str], np.ndarray]:
-    """(texts, 0/1 labels) of at most `most` labelled documents outside the held-out fold, the same
-    ones in every run: those whose id has the smallest hashes. The bound keeps them fit for the driver."""
+    """(texts, 0/1 labels) of at most `most` labelled documents of at most MOST_BYTES outside the
+    held-out fold, the same ones in every run: those whose id has the smallest hashes. The bounds
+    keep the sample fit for the driver, where models are fitted."""
     chosen = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     chosen = chosen.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_y"))
     # a margin for labels without a document
     chosen = chosen.orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(2 * most)
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
-    rows = rows.join(F.broadcast(chosen), "_id").orderBy(F.md5(F.col("_id").cast("string")), "_id", "_text").limit(most).select("_text", "_y").toPandas()
+    rows = rows.where(F.octet_length("_text") <= MOST_BYTES).join(F.broadcast(chosen), "_id").orderBy(F.md5(F.col("_id").cast("string")), "_id", "_text").limit(most).select("_text", "_y").toPandas()
     return [t or "" for t in rows["_text"]], rows["_y"].to_numpy(np.float64)
 
 
+def chunks(texts: list[str], size: int = 1 << 20):
+    """Yields (first text, bytes, offsets) of about `size` bytes of whole texts at a time."""
+    first, raw, held = 0, [], 0
+    for i, text in enumerate(texts):
+        raw.append(text.encode())
+        held += len(raw[-1])
+        if held >= size or i == len(texts) - 1:
+            yield first, np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in raw]))).astype(np.int64)
+            first, raw, held = i + 1, [], 0
+
+
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 30) -> np.ndarray:
     """Weights of an L2-regularised logistic regression by Newton steps; the last column of x is 1."""
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], l2)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import NOT_SPACE, blocks, prefix_hash, span_hash, table, words
-from .labelled import held_out, logistic, sigmoid, training_sample
+from .labelled import chunks, held_out, logistic, sigmoid, training_sample
 
 GOOD_FROM = 0.3
 STEPS = 120
@@ -135,9 +135,9 @@ def good_share(row, size, x, model) -> np.ndarray:
 def fit(texts: list[str], y: np.ndarray) -> dict | None:
     if len(y) == 0 or y.min() == y.max():
         return None
-    raw = [t.encode() for t in texts]
-    offsets = np.concatenate(([0], np.cumsum([len(t) for t in raw])))
-    row, size, x = line_features(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    parts = [(first, *line_features(data, offsets)) for first, data, offsets in chunks(texts)]
+    row = np.concatenate([first + r for first, r, _, _ in parts])
+    size, x = (np.concatenate([part[i] for part in parts]) for i in (2, 3))
     label = y[row]
     rough = x @ logistic(x, label)
     prior = np.log(label.mean() / (1 - label.mean()))

@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ALNUM, LOWER, blocks, mix, prefix_hash, span_hash, table, words
-from .labelled import held_out, logistic, sigmoid, training_sample
+from .labelled import chunks, held_out, logistic, sigmoid, training_sample
 
 TERMS = 400
 STEM_BYTES = (6, 8)
 FOLDS = 4
-MOST_DOCS = 12_000
+MOST_DOCS = 6000
 TOXIC_FROM = 0.5
 LEAST_DOCS = 3
 L2 = 0.3
@@ -58,8 +58,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _hash_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    raw = [t.encode() for t in texts]
-    return word_hashes(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in raw]))).astype(np.int64))
+    """(row, hash) of every text's distinct words and stems."""
+    parts = []
+    for first, data, offsets in chunks(texts):
+        row, h = _distinct(*word_hashes(data, offsets))
+        parts.append((row + first, h))
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
 def presence(row, h, terms, n) -> np.ndarray:
@@ -81,7 +85,6 @@ def _distinct(row, h):
 
 def choose_terms(row, h, y, most: int = TERMS) -> np.ndarray:
     """Words that occur in at least LEAST_DOCS toxic documents and speak most clearly for them."""
-    row, h = _distinct(row, h)
     values, which = np.unique(h, return_inverse=True)
     pos = np.bincount(which, y[row], len(values))
     neg = np.bincount(which, 1 - y[row], len(values))
