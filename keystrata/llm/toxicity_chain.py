@@ -7,7 +7,7 @@ category is the documents' label itself; the ones before are the label together
 the category's list.
 
 Features are the presence of TERMS words and stems, those that tell toxic from other documents best (by the
-z-score of their log odds) in a sample of at most MOST_DOCS labelled documents outside the
+z-score of their log odds) in a sample without copies of at most MOST_DOCS labelled documents outside the
 held-out fold. Fitting is on the driver; the model is a few thousand numbers.
 
 Scale: one pass over the text where it lies, no shuffle; a task holds a block of whole documents.
@@ -18,6 +18,8 @@ are not held out; without labels, or with labels of one kind, every probability
 columns are ignored; an empty table gives an empty table.
 """
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +30,7 @@ from .labelled import chunks, held_out, logistic, sigmoid, training_sample
 
 TERMS = 400
 STEM_BYTES = (6, 8)
+SKETCH = 8
 FOLDS = 4
 MOST_DOCS = 6000
 TOXIC_FROM = 0.5
@@ -83,6 +86,25 @@ def _distinct(row, h):
     return row[new], h[new]
 
 
+def not_copies(row, h, n: int) -> np.ndarray:
+    """Which of n documents share less than SKETCH - 2 of their SKETCH smallest hashes of rarer
+    words with every document before; copies would make chance words look telling."""
+    values, which, counts = np.unique(h, return_inverse=True, return_counts=True)
+    rare = counts[which] <= max(2, n // 10)
+    row, h = row[rare], h[rare]
+    edges = np.searchsorted(row, np.arange(n + 1))
+    keep, seen = np.ones(n, bool), {}
+    for i in range(n):
+        sketch = h[edges[i] : edges[i] + min(SKETCH, edges[i + 1] - edges[i])].tolist()
+        shared = Counter(j for x in sketch for j in seen.get(x, ()))
+        if len(sketch) == SKETCH and shared and max(shared.values()) >= SKETCH - 2:
+            keep[i] = False
+            continue
+        for x in sketch:
+            seen.setdefault(x, []).append(i)
+    return keep
+
+
 def choose_terms(row, h, y, most: int = TERMS) -> np.ndarray:
     """Words that occur in at least LEAST_DOCS toxic documents and speak most clearly for them."""
     values, which = np.unique(h, return_inverse=True)
@@ -100,6 +122,10 @@ def fit(texts: list[str], y: np.ndarray) -> dict | None:
     if len(y) == 0 or y.min() == y.max():
         return None
     row, h = _hash_of(texts)
+    keep = not_copies(row, h, len(y))
+    row, h, y = np.cumsum(keep)[row[keep[row]]] - 1, h[keep[row]], y[keep]
+    if y.min() == y.max():
+        return None
     terms = choose_terms(row, h, y)
     base = presence(row, h, terms, len(y))
     _, seeds = zip(*(_hash_of([" ".join(v)]) for v in CATEGORIES.values()), strict=True)
