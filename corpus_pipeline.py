@@ -1,8 +1,64 @@
-"""Documents through the training-data stages, each written and read again before the next."""
+"""Documents through the training-data stages, each written and read again before the next.
 
-STAGES = []
+1. quality: documents that the line field scores below the limit go.
+2. ngram_jaccard: of each group of documents linked by word 5-grams one stays, the smallest doc_id.
+3. suffix_dedup: passages of 100 bytes and more that also start earlier are cut out of the texts.
+4. decontamination: benchmark passages are cut out; documents made of them go.
+5. mixing: documents are drawn to the sources' target weights; the rows are those that are taken,
+   with their copies and the words these give.
+
+Stages work on all rows that their predecessor kept, whatever it left of them, and treat nulls,
+repeated rows, empty texts and empty tables as their operators' modules say.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keystrata.llm.common import table, written
+from keystrata.llm.decontaminate import decontaminate
+from keystrata.llm.mixing import mix_sources
+from keystrata.llm.ngram_join import keep_one
+from keystrata.llm.quality_crf import keep_good
+from keystrata.llm.suffix_dedup import remove_repeats
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one(docs)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return remove_repeats(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(docs, keep=tuple(docs.columns)).where("taken > 0")
+    return mixed.withColumn("copies", (F.col("taken") / F.col("size")).cast("int"))
+
+
+STAGES = [
+    ("quality", quality),
+    ("ngram_jaccard", ngram_jaccard),
+    ("suffix_dedup", suffix_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+]
+
+#: SQL cannot express the line field, so the pipeline is tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"stage-{name}")
+    return docs
