@@ -43,6 +43,7 @@ BUCKETS = 256
 FLUSH_TOKENS = 2_000_000
 STREAM_ROWS = 2000
 LEADERS = 24
+CHUNK_ROWS = 16
 BLOCK_COLUMNS = 2048
 BROADCAST_ROWS = 500_000
 U = np.uint64
@@ -293,10 +294,18 @@ def jaccard_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD)
     edges = written(edges.unionByName(links(some)), "ngram-links")
 
     open_columns = labelled(edges)
-    left, right = open_columns.toDF("token", "a", "na", "pa", "la"), open_columns.toDF("token", "b", "nb", "pb", "lb")
-    rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # columns from this one on
-    overlap_bound = (100 + t) * rest >= t * (F.col("na") + F.col("nb"))
-    pairs = left.join(right, "token").where((F.col("la") < F.col("lb")) & size_bound & overlap_bound).select("a", "b").distinct()
+    # what is left, by chunks of components, so that sets with many common columns meet once and
+    # not once a column
+    share = Window.partitionBy("label")
+    members = open_columns.select("label", "node", "n").distinct().withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.count(F.lit(1)).over(share) / CHUNK_ROWS)))
+    members = written(members, "ngram-members")
+    side = open_columns.join(members.select("node", "chunk"), "node").groupBy("token", "label", "chunk")
+    side = side.agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"))  # columns from this one on
+    left, right = side.toDF("token", "la", "ca", "lo_a", "hi_a", "ra"), side.toDF("token", "lb", "cb", "lo_b", "hi_b", "rb")
+    sizes_meet = (100 * F.col("hi_a") >= t * F.col("lo_b")) & (100 * F.col("hi_b") >= t * F.col("lo_a"))
+    overlap_bound = (100 + t) * F.least("ra", "rb") >= t * (F.col("lo_a") + F.col("lo_b"))
+    chunks = left.join(right, "token").where((F.col("la") < F.col("lb")) & sizes_meet & overlap_bound).select("la", "ca", "lb", "cb").distinct()
+    pairs = chunks.join(members.toDF("la", "a", "na", "ca"), ["la", "ca"]).join(members.toDF("lb", "b", "nb", "cb"), ["lb", "cb"]).where(size_bound).select("a", "b")
     edges = written(edges.unionByName(links(pairs)), "ngram-links")
 
     labels = connected_components(edges)
