@@ -12,7 +12,7 @@ bin in which a source's quota ends is ordered row by row. The text is scanned on
 Defined results: null text has size 0; a null source is a source of its own, after all others;
 null or repeated doc_ids are rows like others; rows with equal doc_id and text tie and are taken
 one by one; sources without words get target 0; an empty table gives an empty table; other
-columns are carried along only if named in `keep`. Random numbers are hashes of seed, doc_id
+columns are carried along only if named in `keep` and not like one of the operator's. Random numbers are hashes of seed, doc_id
 and text, so reruns agree.
 """
 
@@ -26,6 +26,7 @@ SHARE = 1.5
 MOST_COPIES = 2
 SEED = "mix-1"
 BINS = 4096
+_OWN = {"size", "source_size", "target", "taken", "u", "importance", "of", "whole", "p", "rank", "bin", "of_bin", "base", "quota", "bin_size", "upto", "more"}
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -64,6 +65,7 @@ def mix_sources(docs: DataFrame, keep: tuple[str, ...] = (), weights=WEIGHTS, sh
     """Every document with its size, its source's size and target, and the words taken of it.
 
     `importance` (mean about 1 in a source) scales a document's expected copies, up to `most`."""
+    keep = tuple(c for c in dict.fromkeys(keep) if c not in _OWN)
     sizes = docs.select(
         "doc_id", "source", *[c for c in keep if c not in ("doc_id", "source")],
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),

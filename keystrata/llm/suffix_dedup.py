@@ -369,11 +369,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, size: str | None = "n_
     """The documents without repeated passages; a text that is cut within a character loses it."""
     found = settled(docs, length, with_text=True).where("n_removed > 0").select("doc", "tag", "kept")
     doc, tag, _ = _identity(docs)
-    out = docs.withColumns({"_doc": doc, "_tag": tag}).join(found.toDF("_doc", "_tag", "_kept"), ["_doc", "_tag"], "left")
-    out = out.withColumn("text", F.coalesce("_kept", "text"))
-    if size in docs.columns:
-        out = out.withColumn(size, F.when(F.col("_kept").isNotNull(), F.length("_kept").cast("long")).otherwise(F.col(size)))
-    return out.select(*docs.columns)
+    out = docs.select(doc, tag, *[F.col(c).alias(f"column {i}") for i, c in enumerate(docs.columns)]).join(found, ["doc", "tag"], "left")
+    columns = {c: F.col(f"`column {i}`") for i, c in enumerate(docs.columns)}
+    columns["text"] = F.coalesce("kept", columns["text"])
+    if size in columns:
+        columns[size] = F.when(F.col("kept").isNotNull(), F.length("kept").cast("long")).otherwise(columns[size])
+    return out.select(*[v.alias(c) for c, v in columns.items()])
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
