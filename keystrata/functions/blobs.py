@@ -49,7 +49,7 @@ def is_intact(value: Column, checksum: Column) -> Column:
 
 def looks_encrypted(value: Column) -> Column:
     """A leading 0x01, or JSON with a cipher_type."""
-    return F.coalesce((F.substring(value, 1, 1) == F.lit(b"\x01")) | F.get_json_object(F.decode(value, "UTF-8"), "$.cipher_type").isNotNull(), F.lit(False))
+    return F.coalesce((F.substring(value, 1, 1) == F.lit(b"\x01")) | F.get_json_object(value.cast("string"), "$.cipher_type").isNotNull(), F.lit(False))
 
 
 def prefix_end(prefix: bytes) -> bytes | None:

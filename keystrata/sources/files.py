@@ -30,7 +30,7 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """NDJSON of key and value; of lines with one key, the last of its file counts."""
     df = spark.read.schema("key string, value string").json(path)
     place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    return df.groupBy("key").agg(F.max_by("value", place).alias("value"))
+    return df.select("key", "value", place.alias("place")).groupBy("key").agg(F.max_by("value", "place").alias("value"))
 
 
 def write_ndjson(df: DataFrame, path: str) -> None:
