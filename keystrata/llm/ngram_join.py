@@ -43,6 +43,7 @@ BUCKETS = 256
 FLUSH_TOKENS = 2_000_000
 STREAM_ROWS = 2000
 LEADERS = 24
+LEADER_BYTES = 64 << 20
 CHUNK_ROWS = 16
 BLOCK_COLUMNS = 2048
 BROADCAST_ROWS = 500_000
@@ -260,6 +261,8 @@ def jaccard_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD)
                     b.append(leaders[k][0])
                 if not hits:
                     leaders = [*leaders[-LEADERS + 1 :], (node, columns)]
+                    while len(leaders) > 1 and sum(c.nbytes for _, c in leaders) > LEADER_BYTES:
+                        del leaders[0]
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def verify(batches):

@@ -12,7 +12,9 @@ suffixes reach the cover after the same few bytes.
 Scale: the text is not shuffled for the search, only one row of 40 bytes for about 33 bytes of
 text, and repeats within a task are settled before. Sorting is streamed in the order of the
 shuffle's external sort, so a bucket of equal runs of any size needs constant memory; a task
-holds SORT_BYTES of different runs, or those of one bucket. Texts of documents with something to
+holds SORT_BYTES of different runs. Buckets of more than HOT_RUNS different runs (a passage that
+everyone quotes differently) are not gathered: their suffixes become runs of one, in buckets of
+their own digests, and go through the same stream. Texts of documents with something to
 settle are fetched by a join, with the list of those documents broadcast while it is short.
 
 Defined results: null texts are empty; texts of fewer than LENGTH bytes are never changed and
@@ -38,6 +40,7 @@ PIECE_BYTES = 4 << 20
 FLUSH_RUNS = 600_000
 SORT_BYTES = 1_500_000
 BROADCAST_ROWS = 500_000
+HOT_RUNS = 20_000
 #: A perfect difference cover, every distance modulo 31 occurs once.
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
@@ -192,6 +195,24 @@ def _settle_buckets(batches, length):
         yield pa.record_batch([pa.array(c) for c in columns], ["key", "doc", "place"])
 
 
+def _cut_suffixes(batches, length):
+    """Every suffix of the runs in hot buckets as a run of one, its digests as bucket and run."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            text = np.frombuffer((batch.column(2)[i].as_py() or "").encode(), np.uint8)
+            where = batch.column(3)[i].values.to_numpy()
+            if not len(where):
+                continue
+            suffixes = (where >> 8) & 0xFF
+            run = np.repeat(np.arange(len(where)), suffixes)
+            start = start_of(where)[run] + np.arange(len(run)) - np.repeat(np.cumsum(suffixes) - suffixes, suffixes)
+            key = span_hash(prefix_hash(text), start, start + length)
+            # the second digest reads the bytes in another order
+            other = span_hash(prefix_hash(text[::-1]), len(text) - start - length, len(text) - start)
+            p = place(where[run] >> 48, start, 1, 0)
+            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(other.view(np.int64)), pa.array(np.full(len(p), batch.column(0)[i].as_py(), np.int64)), pa.array(p)], ["key", "digest", "doc", "place"])
+
+
 def _cut_runs(batches, length):
     """The bytes of every run that is still open."""
     for batch in batches:
@@ -347,9 +368,17 @@ def settled(docs: DataFrame, length: int = LENGTH, k: int = K, with_text: bool =
     lists = marks.groupBy("doc", tag).agg(F.collect_list(F.struct("key", "place")).alias("marks"))
     texts = written(texts.join(lists, ["doc", "tag"]), "suffix-texts")
 
+    hot = marks.where(F.col("place").bitwiseAND(F.lit(0xFF00)) > 0).groupBy("key").count().where(F.col("count") > HOT_RUNS).select("key")
+    hot = written(hot, "suffix-hot")
     opened = texts.mapInArrow(lambda b: _cut_runs(b, length), "key long, doc long, place long, bytes binary")
-    opened = opened.repartition("key").sortWithinPartitions("key", "doc", "place")
+    opened = opened.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key", "doc", "place")
     later = opened.mapInArrow(lambda b: _sort_buckets(b, length), "key long, doc long, place long")
+    if not hot.isEmpty():
+        in_hot = marks.where(F.col("place").bitwiseAND(F.lit(0xFF00)) > 0).join(hot, "key").groupBy("doc", tag).agg(F.collect_list("place").alias("places"))
+        singles = texts.select("doc", "tag", "text").join(in_hot, ["doc", "tag"]).mapInArrow(lambda b: _cut_suffixes(b, length), "key long, digest long, doc long, place long")
+        singles = singles.repartition("key").sortWithinPartitions("key", "digest", "doc", "place").mapInArrow(lambda b: _settle_buckets(b, length), "key long, doc long, place long")
+        # a bucket of two suffixes with one digest would stay open; only intervals count
+        later = later.unionByName(singles.where(F.col("place").bitwiseAND(F.lit(0xFF00)) == 0))
     later = later.groupBy("doc", tag).agg(F.collect_list(F.struct("key", "place")).alias("later"))
     rows = texts.join(later, ["doc", "tag"], "left").select("doc", "tag", "text", "marks", "later")
     return rows.mapInArrow(lambda b: _finish(b, with_text), "doc long, tag long, n_removed long, n_spans long, kept_sha256 string, kept string")

@@ -53,6 +53,13 @@ def test_small_pieces_blocks_and_batches(spark, make_docs, monkeypatch):
     assert sorted(map(tuple, got)) == brute(list(enumerate(texts)))
 
 
+def test_hot_buckets(spark, make_docs, monkeypatch):
+    texts = corpus(6)
+    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", 2)
+    got = suffix_dedup.repeat_digest(make_docs(texts)).collect()
+    assert sorted(map(tuple, got)) == brute(list(enumerate(texts)))
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark, make_docs):
     long = " ".join(f"word{i}" for i in range(60))
     docs = make_docs([long, long, long, "y" + long, None], [1, 1, None, None, None])
