@@ -41,7 +41,7 @@ TEMPLATES = [
     ("All-Rights-Reserved", "All rights reserved."),
 ]
 #: Template words that ordinary text is full of, the last to be cues.
-COMMON = {"a", "and", "by", "for", "form", "in", "is", "of", "or", "that", "the", "this", "to", "use", "with", "without"}
+COMMON = {"a", "an", "and", "are", "as", "at", "be", "by", "for", "form", "from", "in", "is", "it", "not", "of", "on", "or", "that", "the", "this", "to", "use", "v", "was", "with", "without"}
 
 
 def words_of(text: str) -> list[str]:
@@ -68,7 +68,7 @@ class Weights:
         cues = set()
         for v in self.vectors:
             rest = sum(x * x for x in v.values())
-            for w in sorted(v, key=lambda w: (w in COMMON or w[0].isdigit(), self.df[w], -len(w), w)):
+            for w in sorted(v, key=lambda w: (2 if w in COMMON else int(w[0].isdigit()), self.df[w], -len(w), w)):
                 if rest < threshold * threshold * 0.999:
                     break
                 cues.add(w)
