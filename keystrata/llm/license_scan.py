@@ -1,7 +1,7 @@
 """Licence scans: TF-IDF cosine of licence statements to templates, inherited along directories.
 
 A statement is a sentence or line that holds a word which templates rarely share; without such a
-word the cosine to any template stays below the threshold (`cue_words` makes sure of that). Its
+word the cosine to any template stays below the threshold (`Weights.cues` makes sure of that). Its
 words, weighted by term frequency and the templates' inverse document frequency, are compared to
 every template at once. A file has the licence of its best statement. A licence file, one whose
 name says so or whose statements are FILE_SHARE of its words at least, gives its licence to its
@@ -19,6 +19,7 @@ rows give repeated rows; other columns are ignored; an empty table gives an empt
 import math
 import re
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,27 +63,58 @@ class Weights:
     def idf(self, df: int) -> float:
         return math.log((1 + len(self.names)) / (1 + df)) + 1
 
-    def cue_words(self, threshold: float) -> list[str]:
-        """Words without any of which no statement reaches the threshold: a cosine is at most the
-        length of the template's part over the words that are shared."""
-        cues = set()
+    def cues(self, threshold: float) -> tuple[list[str], list[list[str]]]:
+        """(words, sets of words): a statement without any of the words, and without all words of
+        any of the sets, reaches the threshold for no template. A cosine is at most the length of
+        the template's part over the words that are shared; where everyday words alone could be
+        long enough, those are a set that it could not do without."""
+        words, sets, least = set(), [], threshold * threshold * 0.999
         for v in self.vectors:
             rest = sum(x * x for x in v.values())
-            for w in sorted(v, key=lambda w: (2 if w in COMMON else int(w[0].isdigit()), self.df[w], -len(w), w)):
-                if rest < threshold * threshold * 0.999:
+            for w in sorted(v.keys() - COMMON, key=lambda w: (w[0].isdigit(), self.df[w], -len(w), w)):
+                if rest < least:
                     break
-                cues.add(w)
+                words.add(w)
                 rest -= v[w] ** 2
-        for v in self.vectors:
-            assert sum(x * x for w, x in v.items() if w not in cues) < threshold * threshold
-        return sorted(cues)
-
+            if rest >= least:
+                needed = sorted(w for w in v.keys() & COMMON if rest - v[w] ** 2 < least)
+                if needed:
+                    sets.append(needed)
+                else:
+                    words |= v.keys() & COMMON
+        return sorted(words), sets
+
+
+def _one_of(words: list[str]) -> str:
+    return "(?:" + "|".join(re.escape(c) for c in words) + ")"
+
+
+def _can_reach(statement: Column, weights: Weights, threshold: float) -> Column:
+    """Whether a bound on the cosine reaches the threshold. Dot products add up by occurrences; the
+    statement's length is at least what it were if no word came twice."""
+    rows = {w: [weights.idf(n) ** 2, *[weights.idf(n) * v.get(w, 0.0) for v in weights.vectors]] for w, n in sorted(weights.df.items())}
+    numbers = lambda x: F.array(*[F.lit(float(y)) for y in x])
+    table = F.create_map(*[x for w, row in rows.items() for x in (F.lit(w), numbers(row))])
+    unseen = numbers([weights.unseen**2] + [0] * len(weights.names))
+    words = F.regexp_extract_all(F.lower(statement), F.lit(f"({WORD})"), 1)
+    sums = F.aggregate(words, numbers([0] * (1 + len(weights.names))), lambda so_far, w: F.zip_with(so_far, F.coalesce(F.try_element_at(table, w), unseen), lambda a, b: a + b))
+    best = F.array_max(F.slice(sums, 2, len(weights.names)))
+    return best * best >= sums[0] * (threshold * threshold * 0.999)
+
+
+def _statements(text: Column, weights: Weights, threshold: float) -> Column:
+    """Distinct sentences and lines that hold a cue word, or all words of a set, and may reach the threshold."""
+    cues = weights.cues(threshold)
+    holds = lambda u, words: F.regexp_like(u, F.lit(r"(?i)(?<![\p{L}\p{N}])" + _one_of(words) + r"(?![\p{L}\p{N}])"))
+
+    def is_cued(u):
+        found = holds(u, cues[0])
+        for together in cues[1]:
+            found = found | reduce(lambda a, b: a & b, [holds(u, [w]) for w in together])
+        return found
 
-def _statements(text: Column, cues: list[str]) -> Column:
-    """Distinct sentences and lines that hold a cue word."""
-    pattern = r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(re.escape(c) for c in cues) + r")(?![\p{L}\p{N}])"
     units = F.split(F.regexp_replace(text, r"([.!?])[ \t]+", "$1\n"), "\n")
-    return F.array_distinct(F.filter(units, lambda u: F.regexp_like(u, F.lit(pattern))))
+    return F.array_distinct(F.filter(units, lambda u: is_cued(u) & _can_reach(u, weights, threshold)))
 
 
 def statement_scores(statements: DataFrame, weights: Weights) -> DataFrame:
@@ -105,7 +137,7 @@ def scan_licenses(files: DataFrame, templates=TEMPLATES, threshold: float = THRE
     name = F.array(*[F.lit(n) for n in weights.names])
     f = files.select(F.col("doc_id").cast("long"), F.col("path").cast("string"), F.col("text").cast("string"))
     f = f.withColumn("file", F.md5(F.concat_ws("\u0001", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("path", F.lit("")), F.md5(F.coalesce("text", F.lit(""))))))
-    f = f.withColumn("statements", F.coalesce(_statements(F.col("text"), weights.cue_words(threshold)), F.array().cast("array<string>")))
+    f = f.withColumn("statements", F.coalesce(_statements(F.col("text"), weights, threshold), F.array().cast("array<string>")))
     n_words = F.when(F.size("statements") > 0, F.regexp_count("text", F.lit(WORD))).alias("n_words")
     # what is found is far smaller than the text, which is so read once
     f = written(f.select("doc_id", "path", "file", "statements", n_words), "license-statements")
@@ -145,7 +177,9 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     weights = Weights()
     rows = ", ".join(f"('{w}', {weights.idf(n)!r}::DOUBLE, [{', '.join(repr(float(v.get(w, 0.0))) for v in weights.vectors)}]::DOUBLE[])" for w, n in sorted(weights.df.items()))
-    cues = "|".join(c.replace(".", r"\.") for c in weights.cue_words(THRESHOLD))
+    words, sets = weights.cues(THRESHOLD)
+    matches = lambda some: rf"regexp_matches(s, '(?i)(^|[^\p{{L}}\p{{N}}])({'|'.join(c.replace('.', chr(92) + '.') for c in some)})([^\p{{L}}\p{{N}}]|$)')"
+    cued = " OR ".join([matches(words), *("(" + " AND ".join(matches([w]) for w in together) + ")" for together in sets)])
     names = "[" + ", ".join(f"'{n}'" for n in weights.names) + "]"
     n = len(weights.names)
     none = "[" + ", ".join(["0.0"] * n) + "]::DOUBLE[]"
@@ -158,7 +192,7 @@ WITH f AS (SELECT doc_id, coalesce(text, '') AS text, CASE
     ELSE concat(coalesce(source, 'none'), '/', coalesce(lang, 'none'), '/', doc_id // 100, '/', doc_id, '.txt') END AS path FROM documents),
 d AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory FROM f),
 u AS (SELECT doc_id, path, text, unnest(list_distinct(list_filter(string_split(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)),
-    lambda s: regexp_matches(s, '(?i)(^|[^\p{{L}}\p{{N}}])({cues})([^\p{{L}}\p{{N}}]|$)')))) AS statement FROM f),
+    lambda s: {cued}))) AS statement FROM f),
 t AS (SELECT statement, word, count(*) AS tf FROM (SELECT statement, unnest(regexp_extract_all(lower(statement), '{WORD}')) AS word
     FROM (SELECT DISTINCT statement FROM u)) GROUP BY ALL),
 k(word, idf, v) AS (VALUES {rows}),
