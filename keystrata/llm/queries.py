@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 
-from . import decontaminate, license_scan, media_ogg, mixing, ngram_join, quality_crf, suffix_dedup, token_counts, toxicity_chain, warc
+from . import decontaminate, license_scan, media_ogg, mixing, ngram_join, oracle, quality_crf, suffix_dedup, token_counts, toxicity_chain, warc
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
@@ -16,7 +16,14 @@ QUERIES = {
     "op9_media_ogg": media_ogg.op9_media_ogg,
     "op10_token_counts": token_counts.op10_token_counts,
 }
-SQL = {"op2_license_scan": license_scan.OP2_SQL, "op3_warc": warc.OP3_SQL, "op8_mixing": mixing.OP8_SQL}
+SQL = {
+    "op1_ngram_jaccard": oracle.OP1_SQL,
+    "op2_license_scan": license_scan.OP2_SQL,
+    "op3_warc": warc.OP3_SQL,
+    "op4_decontamination": oracle.OP4_SQL,
+    "op5_suffix_dedup": oracle.OP5_SQL,
+    "op8_mixing": mixing.OP8_SQL,
+}
 
 if corpus_pipeline.STAGES:
     QUERIES["pipeline"] = corpus_pipeline.run
