@@ -8,7 +8,7 @@ window) is hit.
 Scale: documents are read once where they lie, without a shuffle. The benchmark is cut into
 shards of at most SHARD_WORDS item words, as many as it takes; each shard's automaton is built in
 the tasks from a broadcast of that bounded size, and documents meet the shards one after the
-other. A word pair that no item holds can't lie in a window, so only runs of known pairs that
+other, HELD_BYTES of text at a time. A word pair that no item holds can't lie in a window, so only runs of known pairs that
 are long enough for a window walk through the automaton.
 
 Defined results: null and empty texts have no words, no hits and the digest of the empty string;
@@ -19,6 +19,7 @@ along by `decontaminate`.
 """
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ from .common import ALNUM, LOWER, blocks, mix, prefix_hash, span_hash, table, wo
 
 WINDOW = 10
 SHARD_WORDS = 200_000
+HELD_BYTES = 16 << 20
 MAX_SPAN = 200
 MAX_COVERAGE = 0.5
 
@@ -160,9 +162,10 @@ def find_hits(automaton: Automaton, row: np.ndarray, hashes: np.ndarray, hit: np
             items.setdefault(int(row[a]), set()).update(found)
 
 
-def shards(benchmark: DataFrame, limit: int = SHARD_WORDS) -> list[list[tuple[str | None, str]]]:
+def shards(benchmark: DataFrame, limit: int = SHARD_WORDS) -> list[tuple[str, list[tuple[str | None, str]]]]:
     """The items in shards of at most `limit` words (an item that is longer is a shard), read a
-    partition at a time. A benchmark is a stated set of test items, far smaller than any corpus."""
+    partition at a time, each with a name of its own. A benchmark is a stated set of test items,
+    far smaller than any corpus."""
     out, current, size = [], [], 0
     for item, text in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
         n = len(text or "") // 2 + 1
@@ -171,32 +174,45 @@ def shards(benchmark: DataFrame, limit: int = SHARD_WORDS) -> list[list[tuple[st
             current, size = [], 0
         current.append((item, text or ""))
         size += n
-    return out + [current] if current else out
+    return [(uuid.uuid4().hex, x) for x in [*out, current] if x]
 
 
 _built: dict = {}
 
 
 def _automaton(shard, window: int) -> Automaton:
-    """One at a time a worker."""
-    if _built.get("id") != (shard.id if hasattr(shard, "id") else id(shard), window):
+    """One at a time a worker; workers outlive queries, so it is known by the shard's own name."""
+    name, texts = shard.value
+    if _built.get("of") != (name, window):
         items = []
-        for item, text in shard.value:
+        for item, text in texts:
             raw = np.frombuffer(text.encode(), np.uint8)
             items.append((item, text_words(raw, np.array([0, len(raw)]))[3]))
         _built.clear()
-        _built.update({"id": (shard.id if hasattr(shard, "id") else id(shard), window), "automaton": Automaton(items, window)})
+        _built.update({"of": (name, window), "automaton": Automaton(items, window)})
     return _built["automaton"]
 
 
 def _scan(column: pa.Array, parts: list, window: int):
     """Yields per block (first row, end row, bytes, offsets, begin, end, row, hit, items)."""
+    held, size = [], 0
+
+    def met():
+        """The held blocks meet one shard after the other, whose automata are built one at a time."""
+        for part in parts:
+            automaton = _automaton(part, window)
+            for *_, row, hit, items, hashes in held:
+                find_hits(automaton, row, hashes, hit, items)
+        return [x[:-1] for x in held]
+
     for a, b, data, offsets in blocks(column):
         begin, end, row, hashes = text_words(data, offsets)
-        hit, items = np.zeros(len(begin), bool), {}
-        for part in parts:
-            find_hits(_automaton(part, window), row, hashes, hit, items)
-        yield a, b, data, offsets, begin, end, row, hit, items
+        held.append((a, b, data, offsets, begin, end, row, np.zeros(len(begin), bool), {}, hashes))
+        size += len(data)
+        if len(parts) < 2 or size >= HELD_BYTES:
+            yield from met()
+            held, size = [], 0
+    yield from met()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

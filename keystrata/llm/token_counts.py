@@ -38,13 +38,13 @@ _encoders: dict = {}
 
 
 def encoder(vocabulary: bytes):
-    """The tokenizer, built once a worker."""
-    if "e" not in _encoders:
+    """The tokenizer, built once a worker for each vocabulary."""
+    if vocabulary not in _encoders:
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines()) if a}
-        _encoders["e"] = tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders["e"]
+        _encoders[vocabulary] = tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[vocabulary]
 
 
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
