@@ -16,7 +16,8 @@ Scale:
 * Pairs are counted over columns of at most FREQUENT sets only. Columns of more sets are looked
   through in rounds, and pairs in the same component are never compared again: neighbours in
   streams of documents with the same rarest such column (hot columns are salted over tasks), then
-  representatives of components that meet in a column, then all remaining pairs across components.
+  sets against many neighbours of other components in the column of theirs that most sets hold,
+  then all remaining pairs across components.
   A group of thousands of near copies so costs some comparisons a document.
 
 Defined results: null texts and texts without words have an empty set and link with nothing;
@@ -26,6 +27,8 @@ doc_ids only has a null name); very long texts are read whole; other columns are
 empty table gives an empty table. Sets are told apart by 64-bit digests, n-grams by 63 bits.
 """
 
+from collections import deque
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -43,6 +46,7 @@ BUCKETS = 256
 FLUSH_TOKENS = 2_000_000
 STREAM_ROWS = 2000
 LEADERS = 24
+NEIGHBOURS = 256
 LEADER_BYTES = 64 << 20
 CHUNK_ROWS = 16
 BLOCK_COLUMNS = 2048
@@ -188,6 +192,15 @@ def reaches(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
     return count >= need
 
 
+def root(joined: dict, label: int) -> int:
+    """What a label has become, by way of the others that it was joined to."""
+    while label in joined:
+        if (further := joined.get(joined[label])) is not None:
+            joined[label] = further
+        label = joined[label]
+    return label
+
+
 def jaccard_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs."""
     spark = docs.sparkSession
@@ -265,6 +278,30 @@ def jaccard_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD)
                         del leaders[0]
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
+    def merge(batches):
+        """Links between components: each set is held against the NEIGHBOURS sets before it, until
+        it has met one of a component or that component is its own."""
+        key = None
+        for batch in batches:
+            a, b = [], []
+            tokens, salts, labels, nodes = (batch.column(i).to_numpy() for i in (2, 3, 4, 0))
+            for token, salt, label, node, blob in zip(tokens, salts, labels, nodes, batch.column(1), strict=True):
+                if (token, salt) != key:
+                    key, before, joined, held = (token, salt), deque(), {}, 0
+                columns = np.frombuffer(blob.as_py(), U)
+                own = root(joined, label)
+                for other, of, theirs in reversed(before):
+                    of = root(joined, of)
+                    if of != own and reaches(columns, theirs, threshold):
+                        joined[of] = own
+                        a.append(node)
+                        b.append(other)
+                before.append((node, label, columns))
+                held += columns.nbytes
+                while len(before) > NEIGHBOURS or held > LEADER_BYTES and len(before) > 1:
+                    held -= before.popleft()[2].nbytes
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
     def verify(batches):
         for batch in batches:
             keep = [reaches(np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U), threshold) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
@@ -281,7 +318,7 @@ def jaccard_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD)
     def labelled(edges: DataFrame) -> DataFrame:
         """The posting of columns that lie in several components, with each row's component."""
         labels = connected_components(edges)
-        p = many.join(labels, "node", "left").select("token", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
+        p = many.join(labels, "node", "left").select("token", "times", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
         several = p.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
         return written(p.join(several, "token"), "ngram-labelled")
 
@@ -289,12 +326,11 @@ def jaccard_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD)
     edges = written(near.unionByName(links(candidates)), "ngram-links")
 
     open_columns = labelled(edges)
-    # components that meet in a column, in a chain of one set each
-    one = open_columns.groupBy("token", "label").agg(F.min("node").alias("b"))
-    chain = Window.partitionBy("token").orderBy("label")
-    one = one.select("b", "label", F.lag("b").over(chain).alias("a"), F.lag("label").over(chain).alias("other")).where("a is not null")
-    some = one.groupBy("label", "other").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    edges = written(edges.unionByName(links(some)), "ngram-links")
+    around = open_columns.groupBy("node").agg(F.max(F.struct("times", "token")).alias("x"), F.first("label").alias("label"))
+    around = around.select("node", "x.token", F.pmod(F.xxhash64("node"), F.ceil(F.col("x.times") / STREAM_ROWS)).alias("salt"), "label")
+    around = matrix.select("node", "columns").join(around, "node").select("node", "columns", "token", "salt", "label")
+    around = around.repartition("token", "salt").sortWithinPartitions("token", "salt", F.octet_length("columns"), "node").mapInArrow(merge, "a long, b long")
+    edges = written(edges.unionByName(around), "ngram-links")
 
     open_columns = labelled(edges)
     # what is left, by chunks of components, so that sets with many common columns meet once and
