@@ -15,7 +15,8 @@ shuffle's external sort, so a bucket of equal runs of any size needs constant me
 holds SORT_BYTES of different runs. Buckets of more than HOT_RUNS different runs (a passage that
 everyone quotes differently) are not gathered: their suffixes become runs of one, in buckets of
 their own digests, and go through the same stream. Texts of documents with something to
-settle are fetched by a join, with the list of those documents broadcast while it is short.
+settle are moved once, into buckets by document, where all later joins find them; the list of
+those documents is broadcast while it is short.
 
 Defined results: null texts are empty; texts of fewer than LENGTH bytes are never changed and
 match nothing; doc_ids order documents, null ones come last, in the order of a hash of their
@@ -32,12 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, mix, powers, prefix_hash, span_hash, string_bytes, table, written
+from .common import blocks, mix, powers, prefix_hash, span_hash, string_bytes, table, written, written_for_joins
 
 LENGTH = 100
 K = 36
 PIECE_BYTES = 4 << 20
-FLUSH_RUNS = 600_000
+SCAN_BYTES = 512 << 10
+FLUSH_RUNS = 400_000
 SORT_BYTES = 1_500_000
 BROADCAST_ROWS = 500_000
 HOT_RUNS = 20_000
@@ -139,7 +141,7 @@ def _run_rows(batches, length, k):
     size = 0
     for batch in batches:
         docs, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for a, b, data, offsets in blocks(batch.column(2)):
+        for a, b, data, offsets in blocks(batch.column(2), SCAN_BYTES):
             for base in range(0, max(1, len(data)), PIECE_BYTES) if b - a == 1 else (0,):
                 whole = b - a > 1
                 part = data if whole else data[base : base + PIECE_BYTES + length - 1]
@@ -364,9 +366,10 @@ def settled(docs: DataFrame, length: int = LENGTH, k: int = K, with_text: bool =
     tag = F.shiftright("place", 48).alias("tag")
     ids = written(marks.select("doc", tag).distinct(), "suffix-docs")
     some = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    texts = d.join(some, ["doc", "tag"], "left_semi").dropDuplicates(["doc", "tag"])
+    texts = d.join(some, ["doc", "tag"], "left_semi")
     lists = marks.groupBy("doc", tag).agg(F.collect_list(F.struct("key", "place")).alias("marks"))
-    texts = written(texts.join(lists, ["doc", "tag"]), "suffix-texts")
+    # the merge keeps both sides dealt by document, as they are written: no later join moves a text
+    texts = written_for_joins(texts.join(lists.hint("merge"), ["doc", "tag"]), "suffix-texts", "doc", "tag")
 
     hot = marks.where(F.col("place").bitwiseAND(F.lit(0xFF00)) > 0).groupBy("key").count().where(F.col("count") > HOT_RUNS).select("key")
     hot = written(hot, "suffix-hot")
@@ -380,7 +383,7 @@ def settled(docs: DataFrame, length: int = LENGTH, k: int = K, with_text: bool =
         # a bucket of two suffixes with one digest would stay open; only intervals count
         later = later.unionByName(singles.where(F.col("place").bitwiseAND(F.lit(0xFF00)) == 0))
     later = later.groupBy("doc", tag).agg(F.collect_list(F.struct("key", "place")).alias("later"))
-    rows = texts.join(later, ["doc", "tag"], "left").select("doc", "tag", "text", "marks", "later")
+    rows = texts.join(later, ["doc", "tag"], "left").select("doc", "tag", "text", "marks", "later").dropDuplicates(["doc", "tag"])
     return rows.mapInArrow(lambda b: _finish(b, with_text), "doc long, tag long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
