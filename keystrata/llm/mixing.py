@@ -7,7 +7,9 @@ first of them that fill the source's remaining words are taken once more.
 
 Scale: a source may hold any share of all rows, so no task ever sees a whole source. Ranks are
 cut into BINS equal bins, sums of (source, bin) are added up in a small table, and only the one
-bin in which a source's quota ends is ordered row by row. The text is scanned once.
+bin in which a source's quota ends is ordered row by row. That gives one row a source, written so
+that its size is known to Spark, which the documents meet without a shuffle while it is small. The
+text is scanned once.
 
 Defined results: null text has size 0; a null source is a source of its own, after all others;
 null or repeated doc_ids are rows like others; rows with equal doc_id and text tie and are taken
@@ -26,7 +28,7 @@ SHARE = 1.5
 MOST_COPIES = 2
 SEED = "mix-1"
 BINS = 4096
-_OWN = {"size", "source_size", "target", "taken", "u", "importance", "of", "whole", "p", "rank", "bin", "of_bin", "base", "quota", "bin_size", "upto", "more"}
+_OWN = {"size", "source_size", "target", "taken", "u", "importance", "of", "whole", "p", "rank", "bin", "doc_order", "last_bin", "edge", "more"}
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -73,7 +75,7 @@ def mix_sources(docs: DataFrame, keep: tuple[str, ...] = (), weights=WEIGHTS, sh
         (F.lit(1.0) if importance is None else F.coalesce(importance.cast("double"), F.lit(1.0))).alias("importance"),
     )
     sizes = written(sizes, "mix-sizes")
-    targets = source_targets(sizes, weights, share, most).withColumnRenamed("source", "of")
+    targets = written(source_targets(sizes, weights, share, most).withColumnRenamed("source", "of"), "mix-targets")
     rows = sizes.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     copies = F.least(F.lit(float(most)), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") * F.col("importance")).otherwise(0.0))
     rows = rows.withColumn("whole", F.floor(copies)).withColumn("p", copies - F.floor(copies))
@@ -81,6 +83,7 @@ def mix_sources(docs: DataFrame, keep: tuple[str, ...] = (), weights=WEIGHTS, sh
     # odds of u over odds of p, brought from (0, inf) to (0, 1) without changing the order
     rank = odds * (1 - F.col("p")) / (odds * (1 - F.col("p")) + F.col("p"))
     rows = rows.withColumn("rank", rank).withColumn("bin", F.least(F.floor(rank * BINS), F.lit(BINS - 1)))
+    rows = rows.withColumn("doc_order", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
 
     bins = rows.groupBy("source", "bin").agg(
         F.sum("size").alias("bin_size"), F.sum(F.col("whole") * F.col("size")).alias("bin_whole"), F.first("target").alias("target")
@@ -88,17 +91,32 @@ def mix_sources(docs: DataFrame, keep: tuple[str, ...] = (), weights=WEIGHTS, sh
     of_source = Window.partitionBy("source")
     bins = bins.withColumn("quota", F.col("target") - F.sum("bin_whole").over(of_source))
     bins = bins.withColumn("base", F.sum("bin_size").over(of_source.orderBy("bin")) - F.col("bin_size"))
-    bins = bins.select(F.col("source").alias("of"), F.col("bin").alias("of_bin"), "base", "quota", "bin_size")
-    rows = rows.join(bins, F.col("source").eqNullSafe(F.col("of")) & (F.col("bin") == F.col("of_bin"))).drop("of", "of_bin")
-
     inside, outside = F.col("base") + F.col("bin_size") <= F.col("quota"), F.col("base") >= F.col("quota")
     cut = ~inside & ~outside
-    in_bin = Window.partitionBy("source", "bin").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    edge = rows.where(cut).withColumn("upto", F.col("base") + F.sum("size").over(in_bin))
+    ends = bins.groupBy(F.col("source").alias("of")).agg(
+        F.max(F.when(inside, F.col("bin"))).alias("last_bin"), F.max(F.when(cut, F.col("bin"))).alias("cut_bin"), F.max(F.when(cut, F.col("base"))).alias("base"), F.first("quota").alias("quota")
+    )
+    ends = written(ends, "mix-ends")
+
+    edge = rows.select("source", "bin", "rank", "doc_order", "size").join(ends, F.col("source").eqNullSafe(F.col("of")) & (F.col("bin") == F.col("cut_bin")))
+    in_bin = of_source.orderBy("rank", "doc_order", "size").rowsBetween(Window.unboundedPreceding, 0)
+    edge = edge.withColumn("upto", F.col("base") + F.sum("size").over(in_bin))
     # the row on which the quota ends is taken if that comes nearer to it
-    edge = edge.withColumn("more", (F.col("upto") - F.col("size") / 2 <= F.col("quota")).cast("long")).drop("upto")
-    rest = rows.where(~cut).withColumn("more", inside.cast("long"))
-    out = rest.unionByName(edge)
+    edge = edge.groupBy("source", "rank", "doc_order", "size").agg(F.count_if(F.col("upto") - F.col("size") / 2 <= F.col("quota")).alias("fit"), F.count(F.lit(1)).alias("tied"))
+    edge = edge.where("fit > 0").groupBy(F.col("source").alias("edge_of")).agg(F.max(F.struct("rank", "doc_order", "size", "fit", "tied")).alias("edge"))
+    # up to here in each source, one row each, so that the documents meet them without a shuffle
+    ends = written(ends.join(edge, F.col("of").eqNullSafe(F.col("edge_of")), "left").select("of", "last_bin", "edge"), "mix-edges")
+    rows = rows.join(ends, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    at, later = F.lit(True), F.lit(False)
+    for c in ("size", "doc_order", "rank"):
+        later = (F.col(c) > F.col(f"edge.{c}")) | ((F.col(c) == F.col(f"edge.{c}")) & later)
+        at = at & (F.col(c) == F.col(f"edge.{c}"))
+    taken = F.coalesce(F.col("bin") <= F.col("last_bin"), F.lit(False)) | F.coalesce(~later, F.lit(False))
+    out = rows.withColumn("more", taken.cast("long"))
+    if not ends.where("edge.fit < edge.tied").isEmpty():
+        some = F.coalesce(at & F.expr("edge.fit < edge.tied"), F.lit(False))
+        of_tied = F.row_number().over(of_source.orderBy("rank"))
+        out = out.where(~some).unionByName(rows.where(some).withColumn("more", (of_tied <= F.col("edge.fit")).cast("long")))
     copies = F.least(F.col("whole") + F.when(F.col("size") > 0, F.col("more")).otherwise(0), F.lit(most))
     columns = dict.fromkeys(["doc_id", *keep])
     return out.select(*columns, "size", "source_size", "target", (copies * F.col("size")).alias("taken"))

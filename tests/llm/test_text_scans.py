@@ -212,3 +212,9 @@ def test_string_bytes_of_slices_and_nulls():
     column = pa.array(["ab", None, "é", ""]).slice(1)
     data, offsets = string_bytes(column)
     assert data.tobytes() == "é".encode() and offsets.tolist() == [0, 0, 2, 2]
+
+
+def test_mixing_takes_tied_rows_one_by_one(spark, make_docs):
+    texts = ["same words " * 3] * 50 + [None, ""]
+    rows = mixing.mix_sources(make_docs(texts, ids=[7] * 50 + [8, None]).withColumn("source", mixing.F.lit("a")), weights=(1,), share=0.7).collect()
+    assert [r.taken for r in rows if r["size"]].count(6) == 35 and sum(r.taken for r in rows) == 210
