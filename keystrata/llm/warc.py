@@ -8,10 +8,11 @@ parses the records.
 Of records with equal payloads of at least `least` bytes, the one with the largest page_id is a
 response and the others are revisits of it.
 
-Scale: records meet by digest in a join whose hot keys Spark can split, and only sums per digest
-are shuffled besides. An archive's name belongs to one attempt of one task, and the index names
-only files of attempts that succeeded, so a lost executor leaves at most files that nothing refers
-to. A task holds one range of READ_BYTES or one record, if that is larger.
+Scale: ids meet by digest in a join of narrow rows whose hot keys Spark can split; payloads move
+once, by page and digest, however many copies one has. An archive's name belongs to one attempt of
+one task, and the index names only files of attempts that succeeded, so a lost executor leaves at
+most files that nothing refers to. A task holds one range of READ_BYTES or one record, if that is
+larger.
 
 Defined results: a null html is an empty payload; null page_ids count as smaller than all others
 (and are responses if no equal payload has an id); rows that repeat a page_id and payload are all
@@ -78,10 +79,14 @@ def elect(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """(page_id, url, html, leader): leader is the largest page_id with an equal payload, null for a response."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     p = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("html"), F.sha1(payload).alias("digest"))
-    # few distinct rows per payload leave a task: the maximum is taken before the shuffle
-    leaders = p.where(F.octet_length("html") >= least).groupBy(F.col("digest").alias("of")).agg(F.max("page_id").alias("leader"))
-    p = p.join(leaders, F.col("digest") == F.col("of"), "left")
-    return p.select("page_id", "url", "html", F.when(F.coalesce("page_id", F.lit(-(1 << 63))) < F.col("leader"), F.col("leader")).alias("leader"))
+    keyed = p.where(F.octet_length("html") >= least).select(F.col("page_id").alias("own"), F.col("digest").alias("of"))
+    leaders = keyed.groupBy(F.col("of").alias("equal")).agg(F.max("own").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    leaders = written(leaders, "warc-leaders")
+    revisits = keyed.join(leaders, F.col("of") == F.col("equal")).where(F.coalesce("own", F.lit(-(1 << 63))) < F.col("leader"))
+    revisits = revisits.groupBy("own", "of").agg(F.max("leader").alias("leader"))
+    # payloads are dealt by page, so copies of one are not gathered, and stream past narrow rows unsorted
+    p = p.join(revisits.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("own")) & (F.col("digest") == F.col("of")), "left")
+    return p.select("page_id", "url", "html", "leader")
 
 
 def write_archives(elected: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
