@@ -1,14 +1,23 @@
-"""Licence scans: TF-IDF cosine of licence statements to templates, inherited along directories.
+"""Licence scans: TF-IDF cosine of headers, licence files and licence statements to templates,
+inherited along directories.
 
-A statement is a sentence or line that holds a word which templates rarely share; without such a
+A unit is a run of consecutive paragraphs that speak of licences (`CUE`), comment marks and line
+breaks removed, wherever it stands: a file header, a README's last section. The whole text is a unit
+of files that a name or a third of their paragraphs makes a licence file. Units are term vectors,
+(1 + ln tf) idf without everyday words, joined with those of the full texts in `licenses`.
+
+As an addition, a statement is a sentence or line that holds a word which templates rarely share; without such a
 word the cosine to any template stays below the threshold (`Weights.cues` makes sure of that). Its
 words, weighted by term frequency and the templates' inverse document frequency, are compared to
-every template at once. A file has the licence of its best statement. A licence file, one whose
-name says so or whose statements are FILE_SHARE of its words at least, gives its licence to its
+every short template at once; statements that are wrapped over lines count where units hold them. A
+file has the licence of its best unit or statement, a longer unit's where a statement names another
+one ("All rights reserved." in a BSD text). A licence file, one whose name says so or whose
+unit or statements are FILE_SHARE of its words at least, gives its licence to its
 directory, and files without a licence take that of the nearest directory above them that has one.
 
-Only DataFrame operations. Scale: one scan finds statements; equal statements are scored once, so
-a line that a third of all files hold is one row; templates are constants in the expressions;
+Only DataFrame operations. Scale: one scan finds units and statements; equal ones are scored once, so
+a line that a third of all files hold is one row; templates are constants in the expressions, and of
+full texts a table of some thousand words;
 ancestors are looked up per directory, not per file; joins are plain ones that Spark can split.
 
 Defined results: null and empty texts have no licence of their own; null paths inherit nothing;
@@ -16,10 +25,12 @@ ties go to the template that is listed first and the licence file whose path is
 rows give repeated rows; other columns are ignored; an empty table gives an empty table.
 """
 
+import json
 import math
 import re
 from collections import Counter
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +54,12 @@ TEMPLATES = [
 ]
 #: Template words that ordinary text is full of, the last to be cues.
 COMMON = {"a", "an", "and", "are", "as", "at", "be", "by", "for", "form", "from", "in", "is", "it", "not", "of", "on", "or", "that", "the", "this", "to", "use", "v", "was", "with", "without"}
+#: Full texts and file headers of licences, NAME.text.txt and NAME.header.txt.
+FULL_TEMPLATES = [(p.name.rsplit(".", 2)[0], p.read_text()) for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))]
+#: What a paragraph that belongs to a licence speaks of.
+CUE = r"(?i)licen[cs]|copyright|warrant|redistribut|permission|rights reserved|liabilit"
+_LINE_MARK = r"#|//|--|;|%|dnl\b|REM\b"
+_MARKS = r"(?m)^[ \t]*(?:/\*+!?|\*+/?|//+!?|#+!?|--+|;+|%+|<!--|\"{3}|'{3}|>|dnl\b|REM\b)[ \t]*"
 
 
 def words_of(text: str) -> list[str]:
@@ -117,6 +134,41 @@ def _statements(text: Column, weights: Weights, threshold: float) -> Column:
     return F.array_distinct(F.filter(units, lambda u: is_cued(u) & _can_reach(u, weights, threshold)))
 
 
+def _units(text: Column) -> Column:
+    """Runs of consecutive paragraphs that speak of licences, and the whole text where they are a third of it."""
+    t = F.regexp_replace(text, r"(?:\*/|-->|\"{3}|'{3})(?=[ \t\r]*\n)", "\n\n")
+    t = F.regexp_replace(t, rf"(?m)^([ \t]*({_LINE_MARK}).*)\r?\n(?![ \t]*\2)", "$1\n\n")  # code follows a comment
+    paragraphs = F.filter(F.split(F.regexp_replace(t, _MARKS, ""), r"\n(?:[ \t\r]*\n)+"), lambda p: F.regexp_like(p, F.lit(WORD)))
+    marked = F.transform(paragraphs, lambda p: F.when(F.regexp_like(p, F.lit(CUE)), F.regexp_replace(p, "\u0001", " ")).otherwise("\u0001"))
+    runs = F.filter(F.split(F.array_join(marked, "\n"), "\u0001"), lambda r: F.trim(F.regexp_replace(r, r"\s+", " ")) != "")
+    whole = F.size(F.filter(marked, lambda p: p != "\u0001")) * 3 >= F.size(marked)
+    return F.array_distinct(F.transform(F.when(whole, F.concat(runs, F.array(text))).otherwise(runs), lambda r: F.trim(F.regexp_replace(r, r"\s+", " "))))
+
+
+def unit_scores(units: DataFrame, templates, threshold: float, first: int) -> DataFrame:
+    """(id, best, words): best is struct(cosine, minus the template's number) of distinct units that reach the threshold."""
+    counts = [{w: n for w, n in Counter(words_of(text)).items() if w not in COMMON} for _, text in templates]
+    df = Counter(w for c in counts for w in c)
+    idf = lambda n: math.log((1 + len(templates)) / (1 + n)) + 1
+    raw = [{w: (1 + math.log(n)) * idf(df[w]) for w, n in c.items()} for c in counts]
+    known = {w: {"word": w, "idf": idf(n), "v": []} for w, n in df.items()}
+    for i, v in enumerate(raw):
+        length = math.sqrt(sum(x * x for x in v.values()))
+        for w, x in v.items():
+            known[w]["v"].append({"t": i, "x": x / length})
+    rows = F.from_json(F.lit(json.dumps(list(known.values()))), "array<struct<word: string, idf: double, v: array<struct<t: int, x: double>>>>")
+    vocabulary = units.sparkSession.range(1).select(F.inline(rows))
+
+    terms = units.select("unit").distinct().select(F.md5("unit").alias("id"), F.explode(F.regexp_extract_all(F.lower("unit"), F.lit(f"({WORD})"), 1)).alias("word"))
+    terms = terms.groupBy("id", "word").agg(F.count(F.lit(1)).alias("tf")).join(F.broadcast(vocabulary), "word", "left")
+    weight = F.when(F.col("word").isin(*sorted(COMMON)), 0.0).otherwise((1 + F.log("tf")) * F.coalesce("idf", F.lit(idf(0))))
+    terms = terms.withColumn("w", weight)
+    lengths = terms.groupBy("id").agg(F.sum("tf").alias("words"), F.sum(F.col("w") * F.col("w")).alias("square"))
+    dots = terms.select("id", "w", F.inline("v")).groupBy("id", "t").agg(F.sum(F.col("w") * F.col("x")).alias("dot"))
+    scores = dots.join(lengths, "id").select("id", F.round(F.col("dot") / F.sqrt("square"), 6).alias("cosine"), (-F.col("t") - first).alias("which"), "words")
+    return scores.where(F.col("cosine") >= threshold).groupBy("id").agg(F.max(F.struct("cosine", "which")).alias("best"), F.first("words").alias("words"))
+
+
 def statement_scores(statements: DataFrame, weights: Weights) -> DataFrame:
     """(statement, best): best is struct(cosine, template number, words) of distinct statements."""
     terms = statements.select("statement").distinct()
@@ -131,21 +183,36 @@ def statement_scores(statements: DataFrame, weights: Weights) -> DataFrame:
     return sums.select("statement", best.alias("best"), "words")
 
 
-def scan_licenses(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, file_share: float = FILE_SHARE) -> DataFrame:
+def scan_licenses(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, file_share: float = FILE_SHARE, full_templates=FULL_TEMPLATES) -> DataFrame:
     """(doc_id, path, own_license, cosine, license, inherited_from) for every row of files(doc_id, path, text)."""
     weights = Weights(templates)
-    name = F.array(*[F.lit(n) for n in weights.names])
+    name = F.array(*[F.lit(n) for n in [*weights.names, *[n for n, _ in full_templates]]])
     f = files.select(F.col("doc_id").cast("long"), F.col("path").cast("string"), F.col("text").cast("string"))
     f = f.withColumn("file", F.md5(F.concat_ws("\u0001", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("path", F.lit("")), F.md5(F.coalesce("text", F.lit(""))))))
-    f = f.withColumn("statements", F.coalesce(_statements(F.col("text"), weights, threshold), F.array().cast("array<string>")))
-    n_words = F.when(F.size("statements") > 0, F.regexp_count("text", F.lit(WORD))).alias("n_words")
+    none = F.array().cast("array<string>")
+    f = f.withColumn("statements", F.coalesce(_statements(F.col("text"), weights, threshold), none))
+    named = F.when(F.regexp_like("path", F.lit(LICENSE_NAME)), F.array(F.trim(F.regexp_replace("text", r"\s+", " "))))
+    units = F.when(F.regexp_like("text", F.lit(CUE)), F.array_union(_units(F.col("text")), F.coalesce(named, none)))
+    f = f.withColumn("units", F.coalesce(units, none))
+    n_words = F.when((F.size("statements") > 0) | (F.size("units") > 0), F.regexp_count("text", F.lit(WORD))).alias("n_words")
     # what is found is far smaller than the text, which is so read once
-    f = written(f.select("doc_id", "path", "file", "statements", n_words), "license-statements")
-    found = f.where(F.size("statements") > 0).select("file", "path", "n_words", "statements").dropDuplicates(["file"])
-    units = found.select("file", "path", "n_words", F.explode("statements").alias("statement"))
-    scores = statement_scores(units, weights).where(F.col("best.cosine") >= threshold)
-    own = units.join(scores, "statement").groupBy("file", "path", "n_words").agg(F.max("best").alias("best"), F.sum("words").alias("words"))
-    own = own.select("file", "path", F.element_at(name, 1 - F.col("best.which")).alias("own_license"), F.col("best.cosine").alias("cosine"), (F.col("words") / F.col("n_words")).alias("share"))
+    f = written(f.select("doc_id", "path", "file", "statements", "units", n_words), "license-statements")
+    found = f.where("n_words is not null").select("file", "path", "n_words", "statements", "units").dropDuplicates(["file"])
+    lines = found.select("file", F.explode("statements").alias("statement"), F.lit(False).alias("wrapped"))
+    sentences = F.array_distinct(F.flatten(F.transform("units", lambda u: _statements(u, weights, threshold))))
+    lines = lines.unionByName(found.select("file", F.explode(F.array_except(sentences, F.col("statements"))).alias("statement"), F.lit(True).alias("wrapped")))
+    scores = statement_scores(lines, weights).where(F.col("best.cosine") >= threshold)
+    plain, wrapped = ~F.col("wrapped"), F.col("wrapped")
+    by_line = lines.join(scores, "statement").groupBy("file").agg(F.max("best").alias("best"), F.coalesce(F.sum(F.when(plain, F.col("words"))), F.sum(F.when(wrapped, F.col("words")))).alias("words"))
+    whole = found.select("file", F.explode("units").alias("unit"))
+    by_unit = whole.withColumn("id", F.md5("unit")).join(unit_scores(whole, full_templates, threshold, len(weights.names)), "id")
+    by_unit = by_unit.groupBy("file").agg(F.max("best").alias("best"), F.max("words").alias("words"))
+    called = lambda c: F.element_at(name, 1 - F.col(f"{c}.which"))
+    own = by_line.toDF("file", "line", "line_words").join(by_unit.toDF("file", "unit", "unit_words"), "file", "full").join(found.select("file", "path", "n_words"), "file")
+    # a phrase of a longer text that is another licence does not speak for it
+    phrase = (called("line") != called("unit")) & (F.col("line_words") < F.col("unit_words"))
+    own = own.withColumn("best", F.when(phrase, F.col("unit")).otherwise(F.greatest("line", "unit"))).withColumn("words", F.greatest("line_words", "unit_words"))
+    own = own.select("file", "path", called("best").alias("own_license"), F.col("best.cosine").alias("cosine"), (F.col("words") / F.col("n_words")).alias("share"))
 
     directory = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     given = own.where((F.col("share") >= file_share) | F.regexp_like("path", F.lit(LICENSE_NAME)))

@@ -218,3 +218,30 @@ def test_mixing_takes_tied_rows_one_by_one(spark, make_docs):
     texts = ["same words " * 3] * 50 + [None, ""]
     rows = mixing.mix_sources(make_docs(texts, ids=[7] * 50 + [8, None]).withColumn("source", mixing.F.lit("a")), weights=(1,), share=0.7).collect()
     assert [r.taken for r in rows if r["size"]].count(6) == 35 and sum(r.taken for r in rows) == 210
+
+
+def test_license_headers_and_files(spark):
+    """Real texts, wrapped and behind comment marks, with other holders than the templates'."""
+    text = {n: body for n, body in license_scan.FULL_TEMPLATES if len(body) > 400}
+    gpl = next(b for n, b in license_scan.FULL_TEMPLATES if n == "GPL-3.0" and b.startswith("This program"))
+    gpl2 = gpl.replace("version 3", "version 2")
+    comment = lambda mark, t: "".join(f"{mark} {line}\n" for line in t.splitlines())
+    mit = text["MIT"].replace("Copyright (c)", "Copyright (c) 2019 Jane Q. Doe and the Frobnicate authors")
+    bsd = text["BSD-3-Clause"].replace("Copyright (c)", "Copyright 2011 Acme Research").replace("\n", "\r\n")
+    apache = next(b for n, b in license_scan.FULL_TEMPLATES if n == "Apache-2.0" and b.startswith("Licensed"))
+    rows = [
+        (1, "m/LICENSE", mit, "MIT"),
+        (2, "b/COPYING.txt", bsd, "BSD-3-Clause"),
+        (3, "g/x.py", "#!/usr/bin/python\n" + comment("#", "frob.py - frobs things\n\nCopyright (C) 2020 Jane Doe\n\n" + gpl) + "import os\nprint(os)\n", "GPL-3.0"),
+        (4, "h/x.c", "/*\n" + comment(" *", gpl2) + " */\nint main;\n", "GPL-2.0"),
+        (5, "a/x.go", comment("//", "Copyright 2024 The Foo Authors.\n\n" + apache) + "package foo\n", "Apache-2.0"),
+        (6, "r/README", "# Frob\n\nIt frobs.\n\n## Licence\n\n" + mit, "MIT"),
+        (7, "s/x.sh", "# This software is licensed under\n# the MIT license.\nls\n", "MIT"),
+        (8, "t/x.py", "# Licensed under the Apache\n# License, Version 2.0.\n", "Apache-2.0"),
+        (9, "u/x", "The museum has a permission desk. Visitors with a driving licence get a discount.", None),
+        (10, "v/LICENSE", text["GPL-3.0"], "GPL-3.0"),
+    ]
+    files = spark.createDataFrame([r[:3] for r in rows], "doc_id long, path string, text string")
+    got = {r.doc_id: r.own_license for r in license_scan.scan_licenses(files).collect()}
+    assert got == {r[0]: r[3] for r in rows}
+    assert license_scan.scan_licenses(files.unionByName(spark.createDataFrame([(11, "m/x.py", "print")], files.schema))).where("doc_id = 11").first().license == "MIT"
