@@ -31,7 +31,7 @@ from collections import deque
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, LOWER, blocks, mix, prefix_hash, span_hash, table, words, written
@@ -201,10 +201,12 @@ def root(joined: dict, label: int) -> int:
     return label
 
 
-def jaccard_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs."""
+def component_members(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataFrame:
+    """(doc_id, n, node, digest, label) for every row of docs: its set's size and digest, its text's
+    digest, and its component, which is null for the empty set."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    hashed = texts.withColumn("digest", text_digest(F.col("text")))
     heavy = spark.sparkContext.broadcast(frequent_slots(texts.select("text"), n))
 
     def first_blocks(batches):
@@ -214,7 +216,7 @@ def jaccard_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD)
                 take = prefix_length(last - first, threshold)
                 at = np.repeat(first - np.cumsum(take) + take, take) + np.arange(take.sum())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(take))), pa.int32()), pa.array((columns[at] ^ (U(1) << U(63))).view(np.int64)))  # signed order is column order
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(last - first, pa.int64()), pa.array(node), lists], ["doc_id", "n", "node", "prefix"])
+                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(last - first, pa.int64()), pa.array(node), batch.column(2).slice(a, b - a), lists], ["doc_id", "n", "node", "digest", "prefix"])
 
     def whole_sets(batches):
         for batch in batches:
@@ -223,7 +225,7 @@ def jaccard_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD)
                 blobs = [columns[i:j].tobytes() for i, j in zip(first, last, strict=True)]
                 yield pa.record_batch([pa.array(node), pa.array(blobs, pa.binary()), batch.column(2).slice(a, b - a), batch.column(3).slice(a, b - a)], ["node", "columns", "token", "salt"])
 
-    rows = written(texts.mapInArrow(first_blocks, "doc_id long, n long, node long, prefix array<long>"), "ngram-rows")
+    rows = written(hashed.mapInArrow(first_blocks, "doc_id long, n long, node long, digest long, prefix array<long>"), "ngram-rows")
     sets = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     posting = sets.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     posting = posting.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("times > 1")
@@ -348,20 +350,40 @@ def jaccard_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD)
     edges = written(edges.unionByName(links(pairs)), "ngram-links")
 
     labels = connected_components(edges)
-    members = rows.select("doc_id", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    members = rows.select("doc_id", "n", "node", "digest").join(labels, "node", "left")
+    return members.withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "node")))
+
+
+def jaccard_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs."""
+    members = component_members(docs, n, threshold)
     # a set's smallest doc_id, then the component's
-    names = members.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    names = members.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = members.where("n > 0").join(names, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return out.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def text_digest(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def keep_one(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataFrame:
-    """One document of each component: that with the smallest doc_id, which names it. Rows that
-    repeat that doc_id are one document; documents without a doc_id stay."""
-    groups = jaccard_components(docs, n, threshold)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Of each component one row with a doc_id, the smallest, which names it, and one without if it has
+    such; of several the text with the smallest digest. Rows without words link with
+    nothing and stay, but for rows that repeat doc_id and text, which are one document."""
+    members = component_members(docs, n, threshold).select("doc_id", "digest", "label")
+    first = F.struct("doc_id", "digest")
+    linked = members.where("label is not null").groupBy("label", F.col("doc_id").isNull().alias("late")).agg(F.min(first).alias("x")).select("x.doc_id", "x.digest")
+    # repeats of a row without a doc_id and without words are not known to be one document
+    alone = members.where("label is null and doc_id is not null").select("doc_id", "digest").distinct()
+    keep = linked.unionByName(alone).select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_late"), F.col("digest").alias("_digest"))
+    names = {c: f"column {i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(c).alias(a) for c, a in names.items()])
+    doc_id, text = F.col(f"`{names['doc_id']}`").cast("long"), F.col(f"`{names['text']}`").cast("string")
+    rows = rows.select("*", F.coalesce(doc_id, F.lit(0)).alias("_id"), doc_id.isNull().alias("_late"), text_digest(text).alias("_digest"))
+    one = rows.join(keep, ["_id", "_late", "_digest"], "left_semi").dropDuplicates(["_id", "_late", "_digest"])
+    empty = rows.where(doc_id.isNull() & ~F.regexp_like(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]")))
+    return one.unionByName(empty).select(*[F.col(f"`{a}`").alias(c) for c, a in names.items()])
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

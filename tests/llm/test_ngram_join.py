@@ -83,3 +83,13 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     labels = dict(map(tuple, connected_components(edges).collect()))
     assert labels == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_keep_one_tells_texts_of_one_id_apart(spark, make_docs):
+    """Unlinked texts under one doc_id all stay; of copies without a doc_id one does."""
+    a, b, c, d = ("a b c d e f", "g h i j k l m", "n o p q r s", "t u v w x y")
+    texts = [a, b, c, c, d, d, d, a, None, None]
+    ids = [7, 7, 7, 7, None, None, None, None, None, None]
+    kept = ngram_join.keep_one(make_docs(texts, ids, extra=True))
+    assert kept.columns == make_docs(texts, ids, extra=True).columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(7, a), (7, b), (7, c), (None, a), (None, d), (None, None), (None, None)], key=repr)
