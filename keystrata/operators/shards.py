@@ -18,9 +18,33 @@ def overlapping(shards: DataFrame, start, end) -> DataFrame:
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of files of two levels whose [low, high] ranges meet; file metadata, a row a file."""
+    """Pairs of files of two levels whose [low, high] ranges meet: one's low lies in the other's range.
+    Ranges of integers are cut into aligned blocks of powers of two, 126 at most, and lows meet them
+    in the one block that holds them, so the join is on equality. Other keys are compared pairwise."""
     a, b = left.select(*[F.col(c).alias(f"left_{c}") for c in left.columns]), right.select(*[F.col(c).alias(f"right_{c}") for c in right.columns])
-    return a.join(b, (F.col("left_low") <= F.col("right_high")) & (F.col("right_low") <= F.col("left_high")))
+    meet = (F.col("left_low") <= F.col("right_high")) & (F.col("right_low") <= F.col("left_high"))
+    if not all(f.dataType.typeName() in ("byte", "short", "integer", "long") for df in (left, right) for f in df.select("low", "high").schema):
+        return a.join(b, meet)
+
+    def points(df, side):
+        low = F.col(f"{side}_low").cast("long")
+        return df.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(low, k).alias("block")) for k in range(64)])).alias("at"))
+
+    def ranges(df, side):
+        low, high, found = F.col(f"{side}_low").cast("long"), F.col(f"{side}_high").cast("long"), []
+        for k in range(64):
+            mask = F.lit((1 << k) - 1).cast("long")
+            first = F.shiftright(low, k) + (low.bitwiseAND(mask) != 0).cast("long")
+            last = F.shiftright(high, k) - (high.bitwiseAND(mask) != mask).cast("long")
+            # blocks of this level that lie in the range while their parents do not
+            found.append(F.when((first <= last) & (first.bitwiseAND(F.lit(1)) == 1), F.struct(F.lit(k).alias("level"), first.alias("block"))))
+            found.append(F.when((first <= last) & (last.bitwiseAND(F.lit(1)) == 0), F.struct(F.lit(k).alias("level"), last.alias("block"))))
+        return df.select("*", F.explode(F.array_compact(F.array(*found))).alias("at"))
+
+    columns = [*a.columns, *b.columns]
+    of_left = points(a, "left").join(ranges(b, "right"), "at").where(meet).select(*columns)
+    of_right = ranges(a, "left").join(points(b, "right"), "at").where(meet & (F.col("right_low") > F.col("left_low"))).select(*columns)
+    return of_left.unionByName(of_right)
 
 
 def hash_shard(key: Column, n: int) -> Column:

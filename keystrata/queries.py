@@ -554,6 +554,18 @@ def overlap_pairs(spark, sf_dir):
     return shards.overlap_pairs(f.where("f < 3"), f).select("left_f", "right_f")
 
 
+@_register(
+    """WITH a AS (SELECT o_orderkey // 70 AS f, min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders GROUP BY 1),
+    b AS (SELECT (o_orderkey + 40) // 250 AS f, min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders GROUP BY 1)
+    SELECT a.f AS left_f, b.f AS right_f FROM a JOIN b ON a.low <= b.high AND b.low <= a.high"""
+)
+def overlap_pairs_of_levels(spark, sf_dir):
+    """All files of two levels, key blocks of differing widths."""
+    orders, key = _t(spark, sf_dir, "orders"), F.col("o_orderkey")
+    level = lambda f: orders.groupBy(F.floor(f).alias("f")).agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    return shards.overlap_pairs(level(key / 70), level((key + 40) / 250)).select("left_f", "right_f")
+
+
 @_register()
 def hash_shards(spark, sf_dir):
     return _t(spark, sf_dir, "orders").groupBy(shards.hash_shard(F.col("o_orderkey"), 8).alias("shard")).agg(F.count(F.lit(1)).alias("keys"))

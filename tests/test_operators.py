@@ -229,3 +229,23 @@ def test_chunks(spark):
     assert rows == {i: (i // 10, i < 20) for i in range(25)}
     assert [len(c) for c in feed.iterate(df, 10)] == [10, 10, 5]
     assert feed.chunked(df.limit(0), "id", 10).count() == 0
+
+
+def test_overlap_pairs_by_blocks(spark):
+    """All pairs of ranges, without a join on inequalities."""
+    import random
+
+    from keystrata.operators import shards
+
+    rng = random.Random(4)
+    top = (1 << 63) - 1
+    sides = []
+    for _ in range(2):
+        rows = [(rng.randint(-300, 300), rng.choice([0, 1, 5, 90])) for _ in range(40)]
+        sides.append([(i, low, low + w) for i, (low, w) in enumerate(rows)] + [(40, -top - 1, top), (41, top, top), (42, None, 3), (43, 9, 2), (44, -top - 1, -top - 1)])
+    a, b = (spark.createDataFrame(rows, "f long, low long, high long") for rows in sides)
+    out = shards.overlap_pairs(a, b).select("left_f", "right_f")
+    want = [(f, g) for f, x, y in sides[0] for g, u, v in sides[1] if x is not None and u is not None and x <= v and u <= y]
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
