@@ -656,6 +656,11 @@ def cursors(spark, sf_dir):
     return _t(spark, sf_dir, "orders").where("o_orderkey < 50").select("o_orderkey", keyed.cursor(F.col("o_orderkey")).alias("cursor"))
 
 
+@_register("SELECT o_orderkey, concat(lower(hex(o_orderkey::VARCHAR)), '|', sha256(o_orderkey::VARCHAR)) AS cursor FROM orders")
+def cursors_of_all(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").select("o_orderkey", keyed.cursor(F.col("o_orderkey")).alias("cursor"))
+
+
 @_register("SELECT event_id, user_id, event_type FROM events WHERE user_id::VARCHAR LIKE '1%'")
 def change_feed(spark, sf_dir):
     """The events of matching users as a stream over all there is now."""

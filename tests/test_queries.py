@@ -12,3 +12,7 @@ def test_query(spark, duck, name):
         same_rows(df, duck, SQL[name])
     else:
         assert df.count() > 0
+
+
+def test_cursors_of_every_row(spark):
+    assert QUERIES["cursors_of_all"](spark, SMALL).count() == spark.read.parquet(f"{SMALL}/orders.parquet").count()
