@@ -9,7 +9,7 @@ one block of buckets at a time: by their first bytes, and long ties by precomput
 suffixes on a difference cover. Runs are laid out with their anchors in the same phase, so tied
 suffixes reach the cover after the same few bytes.
 
-Scale: the text is not shuffled for the search, only one row of 40 bytes for about 33 bytes of
+Scale: the text is not shuffled for the search, only one row of 48 bytes for about 33 bytes of
 text, and repeats within a task are settled before. Sorting is streamed in the order of the
 shuffle's external sort, so a bucket of equal runs of any size needs constant memory; a task
 holds SORT_BYTES of different runs. Buckets of more than HOT_RUNS different runs (a passage that
@@ -88,16 +88,16 @@ def suffix_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k:
     return mix(grams[a]), digest, row, start - offsets[row], end - start + 1, a - start
 
 
-def place(tag, start, suffixes, shift):
-    """Tag, start, number of suffixes (0: an interval's start) and anchor's distance in one long."""
-    return (tag << 48) | (start << 16) | (suffixes << 8) | shift
+def place(start, suffixes, shift):
+    """Start, number of suffixes (0: an interval's start) and anchor's distance in one long."""
+    return (start << 16) | (suffixes << 8) | shift
 
 
 def start_of(p):
     return (p >> 16) & 0xFFFFFFFF
 
 
-def settle_here(key, digest, doc, where, length):
+def settle_here(key, digest, doc, tag, where, length):
     """Of equal runs all but the earliest are repeats. Returns (open rows, repeats)."""
     both = key ^ mix(digest)
     order = np.argsort(both)
@@ -107,36 +107,36 @@ def settle_here(key, digest, doc, where, length):
     some = np.zeros(len(key), bool)
     some[order[1:][same]] = some[order[:-1][same]] = True
     at = np.flatnonzero(some)
-    at = at[np.lexsort((where[at] >> 16, doc[at], digest[at], key[at]))]
+    at = at[np.lexsort((where[at] >> 16, tag[at], doc[at], digest[at], key[at]))]
     new = np.concatenate(([True], (key[at][1:] != key[at][:-1]) | (digest[at][1:] != digest[at][:-1])))
     head = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
-    repeat = at[(doc[at] != doc[head]) | (where[at] >> 16 != where[head] >> 16)]
+    repeat = at[(doc[at] != doc[head]) | (tag[at] != tag[head]) | (where[at] >> 16 != where[head] >> 16)]
     keep = np.ones(len(key), bool)
     keep[repeat] = False
     return keep, repeat
 
 
-def join_intervals(doc, where, length):
-    """(doc, place of start, end) of the runs' bytes, touching and overlapping ones joined."""
-    order = np.lexsort((start_of(where), where >> 48, doc))
-    doc, tag, start = doc[order], where[order] >> 48, start_of(where[order])
+def join_intervals(doc, tag, where, length):
+    """(doc, tag, place of start, end) of the runs' bytes, touching and overlapping ones joined."""
+    order = np.lexsort((start_of(where), tag, doc))
+    doc, tag, start = doc[order], tag[order], start_of(where[order])
     end = start + ((where[order] >> 8) & 0xFF) - 1 + length
     new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (start[1:] > end[:-1])))  # ends rise with starts
     first = np.flatnonzero(new)
-    return doc[first], place(tag[first], start[first], 0, 0), np.maximum.reduceat(end, first)
+    return doc[first], tag[first], place(start[first], 0, 0), np.maximum.reduceat(end, first)
 
 
 def _run_rows(batches, length, k):
     held = []
 
     def flush():
-        key, digest, doc, where = (np.concatenate(c) for c in zip(*held, strict=True))
-        keep, repeat = settle_here(key, digest, doc, where, length)
-        columns = [key[keep].view(np.int64), digest[keep].view(np.int64), doc[keep], where[keep]]
+        key, digest, doc, tag, where = (np.concatenate(c) for c in zip(*held, strict=True))
+        keep, repeat = settle_here(key, digest, doc, tag, where, length)
+        columns = [key[keep].view(np.int64), digest[keep].view(np.int64), doc[keep], tag[keep], where[keep]]
         if len(repeat):
-            d, p, end = join_intervals(doc[repeat], where[repeat], length)
-            columns = [np.concatenate(x) for x in zip(columns, (mix(d.view(U) ^ p.view(U)).view(np.int64), end, d, p), strict=True)]
-        return pa.record_batch([pa.array(c) for c in columns], ["key", "digest", "doc", "place"])
+            d, g, p, end = join_intervals(doc[repeat], tag[repeat], where[repeat], length)
+            columns = [np.concatenate(x) for x in zip(columns, (mix(d.view(U) ^ p.view(U)).view(np.int64), end, d, g, p), strict=True)]
+        return pa.record_batch([pa.array(c) for c in columns], ["key", "digest", "doc", "tag", "place"])
 
     size = 0
     for batch in batches:
@@ -146,7 +146,7 @@ def _run_rows(batches, length, k):
                 whole = b - a > 1
                 part = data if whole else data[base : base + PIECE_BYTES + length - 1]
                 key, digest, row, start, suffixes, shift = suffix_runs(part, offsets if whole else np.array([0, len(part)]), length, k)
-                held.append((key, digest, docs[a:b][row], place(tags[a:b][row], start + base, suffixes, shift)))
+                held.append((key, digest, docs[a:b][row], tags[a:b][row], place(start + base, suffixes, shift)))
                 size += len(key)
             if size >= FLUSH_RUNS:
                 yield flush()
@@ -156,28 +156,28 @@ def _run_rows(batches, length, k):
 
 
 def _settle_buckets(batches, length):
-    """Rows by key, digest, doc and place. Yields intervals of repeats (as place with no suffixes,
+    """Rows by key, digest, doc, tag and place. Yields intervals of repeats (as place with no suffixes,
     key: the end) and the runs of buckets with different ones."""
-    run = (None, None, None, None)  # key, digest, doc, place of the current run's first row
+    run = (None,) * 5  # key, digest, doc, tag, place of the current run's first row
     pending = None  # a bucket's only run so far
 
     for batch in batches:
-        key, digest, doc, where = (batch.column(i).to_numpy() for i in range(4))
+        key, digest, doc, tag, where = (batch.column(i).to_numpy() for i in range(5))
         if not len(key):
             continue
         given = (where >> 8) & 0xFF == 0
-        out = [(digest[given], doc[given], where[given])]
-        key, digest, doc, where = (x[~given] for x in (key, digest, doc, where))
+        out = [(digest[given], doc[given], tag[given], where[given])]
+        key, digest, doc, tag, where = (x[~given] for x in (key, digest, doc, tag, where))
         if len(key):
-            lead = [np.concatenate((np.array([x if x is not None else 0], np.int64), y)) for x, y in zip(run, (key, digest, doc, where), strict=True)]
+            lead = [np.concatenate((np.array([x if x is not None else 0], np.int64), y)) for x, y in zip(run, (key, digest, doc, tag, where), strict=True)]
             new_key = lead[0][1:] != lead[0][:-1]
             new_key[0] |= run[0] is None
             new_run = new_key | (lead[1][1:] != lead[1][:-1])
             head = np.maximum.accumulate(np.where(np.concatenate(([True], new_run)), np.arange(len(key) + 1), 0))[1:]
-            repeat = ~new_run & ((doc != lead[2][head]) | (where >> 16 != lead[3][head] >> 16))
+            repeat = ~new_run & ((doc != lead[2][head]) | (tag != lead[3][head]) | (where >> 16 != lead[4][head] >> 16))
             if repeat.any():
-                d, p, end = join_intervals(doc[repeat], where[repeat], length)
-                out.append((end, d, p))
+                d, g, p, end = join_intervals(doc[repeat], tag[repeat], where[repeat], length)
+                out.append((end, d, g, p))
             heads = np.flatnonzero(new_run)
             follows = ~new_key[heads]  # another run of the bucket stands before it
             if len(heads):
@@ -188,13 +188,13 @@ def _settle_buckets(batches, length):
                 several = follows.copy()
                 several[:-1] |= follows[1:]
                 at = heads[several]
-                out.append((key[at], doc[at], where[at]))
+                out.append((key[at], doc[at], tag[at], where[at]))
                 if not several[-1]:
-                    pending = (key[heads[-1]], doc[heads[-1]], where[heads[-1]])
+                    pending = (key[heads[-1]], doc[heads[-1]], tag[heads[-1]], where[heads[-1]])
             last = head[-1]
             run = tuple(int(x[last]) for x in lead)
         columns = [np.concatenate(x) for x in zip(*out, strict=True)]
-        yield pa.record_batch([pa.array(c) for c in columns], ["key", "doc", "place"])
+        yield pa.record_batch([pa.array(c) for c in columns], ["key", "doc", "tag", "place"])
 
 
 def _cut_suffixes(batches, length):
@@ -202,7 +202,7 @@ def _cut_suffixes(batches, length):
     for batch in batches:
         for i in range(batch.num_rows):
             text = np.frombuffer((batch.column(2)[i].as_py() or "").encode(), np.uint8)
-            where = batch.column(3)[i].values.to_numpy()
+            where, tag = batch.column(3)[i].values.to_numpy(), batch.column(1)[i].as_py()
             if not len(where):
                 continue
             suffixes = (where >> 8) & 0xFF
@@ -211,8 +211,8 @@ def _cut_suffixes(batches, length):
             key = span_hash(prefix_hash(text), start, start + length)
             # the second digest reads the bytes in another order
             other = span_hash(prefix_hash(text[::-1]), len(text) - start - length, len(text) - start)
-            p = place(where[run] >> 48, start, 1, 0)
-            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(other.view(np.int64)), pa.array(np.full(len(p), batch.column(0)[i].as_py(), np.int64)), pa.array(p)], ["key", "digest", "doc", "place"])
+            p = place(start, 1, 0)
+            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(other.view(np.int64)), pa.array(np.full(len(p), batch.column(0)[i].as_py(), np.int64)), pa.array(np.full(len(p), tag, np.int64)), pa.array(p)], ["key", "digest", "doc", "tag", "place"])
 
 
 def _cut_runs(batches, length):
@@ -228,7 +228,7 @@ def _cut_runs(batches, length):
                 start = start_of(where)
                 end = start + ((where >> 8) & 0xFF) - 1 + length
                 parts = [text[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-                yield pa.record_batch([pa.array(key), pa.array(np.full(len(key), batch.column(0)[i].as_py(), np.int64)), pa.array(where), pa.array(parts, pa.binary())], ["key", "doc", "place", "bytes"])
+                yield pa.record_batch([pa.array(key), pa.array(np.full(len(key), batch.column(0)[i].as_py(), np.int64)), pa.array(np.full(len(key), batch.column(1)[i].as_py(), np.int64)), pa.array(where), pa.array(parts, pa.binary())], ["key", "doc", "tag", "place", "bytes"])
 
 
 def _equal_before(keys: list[np.ndarray], order: np.ndarray) -> np.ndarray:
@@ -281,27 +281,27 @@ def repeated_suffixes(data: np.ndarray, offsets: np.ndarray, suffixes: np.ndarra
 
 
 def _sort_buckets(batches, length):
-    """Rows by key, doc and place: whole buckets are gathered to about SORT_BYTES and sorted."""
+    """Rows by key, doc, tag and place: whole buckets are gathered to about SORT_BYTES and sorted."""
     held, size = [], 0
 
     def settle(rows):
-        doc, where = np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows])
-        data, offsets = string_bytes(pa.concat_arrays([r[3] for r in rows]))
+        doc, tag, where = (np.concatenate([r[i] for r in rows]) for i in (1, 2, 3))
+        data, offsets = string_bytes(pa.concat_arrays([r[4] for r in rows]))
         run, number, first = repeated_suffixes(data, offsets, (where >> 8) & 0xFF, where & 0xFF, length)
-        later = (doc[run] != doc[first]) | (where[run] >> 16 != where[first] >> 16)
+        later = (doc[run] != doc[first]) | (tag[run] != tag[first]) | (where[run] >> 16 != where[first] >> 16)
         run, number = run[later], number[later]
-        p = place(where[run] >> 48, start_of(where[run]) + number, 1, 0)
+        p = place(start_of(where[run]) + number, 1, 0)
         if not len(run):
-            return pa.record_batch([pa.array([], pa.int64())] * 3, ["key", "doc", "place"])
-        d, p, end = join_intervals(doc[run], p, length)
-        return pa.record_batch([pa.array(end), pa.array(d), pa.array(p)], ["key", "doc", "place"])
+            return pa.record_batch([pa.array([], pa.int64())] * 4, ["key", "doc", "tag", "place"])
+        d, g, p, end = join_intervals(doc[run], tag[run], p, length)
+        return pa.record_batch([pa.array(end), pa.array(d), pa.array(g), pa.array(p)], ["key", "doc", "tag", "place"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3)]
+        rows = [*(batch.column(i).to_numpy() for i in range(4)), batch.column(4)]
         cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last bucket may go on
-        n = batch.column(3).nbytes
+        n = batch.column(4).nbytes
         if size + n > SORT_BYTES and (cut > 0 or (held and held[-1][0][-1] != rows[0][0])):
             if cut == 0 and held:
                 yield settle(held)
@@ -349,7 +349,7 @@ def _identity(docs: DataFrame):
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     digest = F.xxhash64(text)
     late = F.lit(1 << 62) + F.shiftrightunsigned(digest, 2)
-    return F.coalesce(F.col("doc_id").cast("long"), late).alias("doc"), digest.bitwiseAND(F.lit(0x7FFF)).alias("tag"), text.alias("text")
+    return F.coalesce(F.col("doc_id").cast("long"), late).alias("doc"), digest.alias("tag"), text.alias("text")
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -359,30 +359,29 @@ def _identified(docs: DataFrame) -> DataFrame:
 def settled(docs: DataFrame, length: int = LENGTH, k: int = K, with_text: bool = False) -> DataFrame:
     """(doc, tag, n_removed, n_spans, kept_sha256, kept) of the documents of which bytes may go."""
     d = _identified(docs)
-    runs = d.mapInArrow(lambda b: _run_rows(b, length, k), "key long, digest long, doc long, place long")
-    runs = runs.repartition("key").sortWithinPartitions("key", "digest", "doc", "place")
-    marks = written(runs.mapInArrow(lambda b: _settle_buckets(b, length), "key long, doc long, place long"), "suffix-marks")
+    runs = d.mapInArrow(lambda b: _run_rows(b, length, k), "key long, digest long, doc long, tag long, place long")
+    runs = runs.repartition("key").sortWithinPartitions("key", "digest", "doc", "tag", "place")
+    marks = written(runs.mapInArrow(lambda b: _settle_buckets(b, length), "key long, doc long, tag long, place long"), "suffix-marks")
 
-    tag = F.shiftright("place", 48).alias("tag")
-    ids = written(marks.select("doc", tag).distinct(), "suffix-docs")
+    ids = written(marks.select("doc", "tag").distinct(), "suffix-docs")
     some = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     texts = d.join(some, ["doc", "tag"], "left_semi")
-    lists = marks.groupBy("doc", tag).agg(F.collect_list(F.struct("key", "place")).alias("marks"))
+    lists = marks.groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "place")).alias("marks"))
     # the merge keeps both sides dealt by document, as they are written: no later join moves a text
     texts = written_for_joins(texts.join(lists.hint("merge"), ["doc", "tag"]), "suffix-texts", "doc", "tag")
 
     hot = marks.where(F.col("place").bitwiseAND(F.lit(0xFF00)) > 0).groupBy("key").count().where(F.col("count") > HOT_RUNS).select("key")
     hot = written(hot, "suffix-hot")
-    opened = texts.mapInArrow(lambda b: _cut_runs(b, length), "key long, doc long, place long, bytes binary")
-    opened = opened.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key", "doc", "place")
-    later = opened.mapInArrow(lambda b: _sort_buckets(b, length), "key long, doc long, place long")
+    opened = texts.mapInArrow(lambda b: _cut_runs(b, length), "key long, doc long, tag long, place long, bytes binary")
+    opened = opened.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key", "doc", "tag", "place")
+    later = opened.mapInArrow(lambda b: _sort_buckets(b, length), "key long, doc long, tag long, place long")
     if not hot.isEmpty():
-        in_hot = marks.where(F.col("place").bitwiseAND(F.lit(0xFF00)) > 0).join(hot, "key").groupBy("doc", tag).agg(F.collect_list("place").alias("places"))
-        singles = texts.select("doc", "tag", "text").join(in_hot, ["doc", "tag"]).mapInArrow(lambda b: _cut_suffixes(b, length), "key long, digest long, doc long, place long")
-        singles = singles.repartition("key").sortWithinPartitions("key", "digest", "doc", "place").mapInArrow(lambda b: _settle_buckets(b, length), "key long, doc long, place long")
+        in_hot = marks.where(F.col("place").bitwiseAND(F.lit(0xFF00)) > 0).join(hot, "key").groupBy("doc", "tag").agg(F.collect_list("place").alias("places"))
+        singles = texts.select("doc", "tag", "text").join(in_hot, ["doc", "tag"]).mapInArrow(lambda b: _cut_suffixes(b, length), "key long, digest long, doc long, tag long, place long")
+        singles = singles.repartition("key").sortWithinPartitions("key", "digest", "doc", "tag", "place").mapInArrow(lambda b: _settle_buckets(b, length), "key long, doc long, tag long, place long")
         # a bucket of two suffixes with one digest would stay open; only intervals count
         later = later.unionByName(singles.where(F.col("place").bitwiseAND(F.lit(0xFF00)) == 0))
-    later = later.groupBy("doc", tag).agg(F.collect_list(F.struct("key", "place")).alias("later"))
+    later = later.groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "place")).alias("later"))
     rows = texts.join(later, ["doc", "tag"], "left").select("doc", "tag", "text", "marks", "later").dropDuplicates(["doc", "tag"])
     return rows.mapInArrow(lambda b: _finish(b, with_text), "doc long, tag long, n_removed long, n_spans long, kept_sha256 string, kept string")
 

@@ -80,3 +80,13 @@ def test_removal_keeps_columns_and_counts(spark, make_docs):
 def test_difference_cover():
     c = suffix_dedup.COVER
     assert {(a - b) % suffix_dedup.PERIOD for a in c for b in c} == set(range(suffix_dedup.PERIOD))
+
+
+def test_many_texts_of_one_id_are_told_apart(spark, make_docs):
+    """Texts under one doc_id, more than 15 bits of a digest could name."""
+    long = " ".join(f"word{i}" for i in range(40))
+    texts = [f"{i} {long} {i}" for i in range(1500)]
+    docs = make_docs(texts, [1] * len(texts))
+    in_order = [r.text for r in docs.selectExpr("text", "xxhash64(text) AS h").orderBy("h").collect()]
+    got = suffix_dedup.repeat_digest(docs).collect()
+    assert sorted(tuple(r)[1:] for r in got) == sorted(r[1:] for r in brute(list(enumerate(in_order))))
