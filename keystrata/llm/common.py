@@ -12,9 +12,11 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 20
 BLOCK_ROWS = 50_000
+BROADCAST_ROWS = 500_000
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -157,6 +159,11 @@ def written_for_joins(df: DataFrame, name: str, *columns: str, codec: str = "zst
     return spark.table(called)
 
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of few columns, to be broadcast while it has at most `rows` rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path) for a URI of any scheme that pyarrow knows, or a plain path."""
     from pyarrow import fs

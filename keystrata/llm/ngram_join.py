@@ -3,22 +3,28 @@
 The document by n-gram incidence matrix is multiplied with its transpose block by block. Columns
 are ordered, rare n-grams before frequent ones, else by hash. The first block of a document is so
 long that a pair without a common column there cannot reach the bound that follows from the two
-sizes (n - ceil(T n) + 1 columns); its product, a join on the column, gives the candidate pairs.
-Candidates accumulate overlap counts over the remaining blocks and go as soon as count plus what
-can still come lies below the bound. Nothing is estimated: only pairs that cannot link are skipped.
+sizes (n - ceil(T n) + 1 columns); its product over columns of at most FREQUENT sets, a join on
+the column, gives candidate pairs, which go when count plus what can still come lies below the
+bound. Sets with more frequent columns in their first block are multiplied in streams: all sets
+with the same rarest such column, in blocks of BLOCK_ROWS sets by BLOCK_COLUMNS columns, overlap
+counts added up over the columns until no pair of a block can reach its bound. Pairs of different
+streams, candidates and pairs that share another frequent column, are compared once for all
+columns they share, in chunks of at most CHUNK_ROWS sets, unless they are linked by others
+already. Nothing is estimated: only pairs that cannot link, or are known to be in one component,
+are skipped.
 
 Scale:
 * Documents with equal sets are one row of the matrix.
 * Document frequencies are counted exactly over all documents, as delta-coded, sorted hash slots
-  in fixed-size counters. They only order the columns, so that a passage that thousands of
-  documents share is in no first block that has rarer columns; the HEAVIEST of them at most are
-  broadcast, and which ones has no effect on the result.
-* Pairs are counted over columns of at most FREQUENT sets only. Columns of more sets are looked
-  through in rounds, and pairs in the same component are never compared again: neighbours in
-  streams of documents with the same rarest such column (hot columns are salted over tasks), then
-  sets against many neighbours of other components in the column of theirs that most sets hold,
-  then all remaining pairs across components.
-  A group of thousands of near copies so costs some comparisons a document.
+  in fixed-size counters; slots, and tasks to count them in, grow with the text. They only order
+  the columns, so that a passage that thousands of documents share is in no first block that has
+  rarer columns; the HEAVIEST of them at most are broadcast, and which ones has no effect on the
+  result.
+* A stream is dealt by salt into parts of at most about STREAM_ROWS sets and STREAM_COLUMNS
+  columns, so no column, however frequent, has to fit into a task. A stream's components are
+  known when it ends; a group of thousands of near copies costs some block products and is one
+  label from then on.
+* No window runs over a column or a component; counts are partial sums before they are shuffled.
 
 Defined results: null texts and texts without words have an empty set and link with nothing;
 fewer than five words are one n-gram; equal sets link; repeated rows are rows of the same set;
@@ -27,14 +33,14 @@ doc_ids only has a null name); very long texts are read whole; other columns are
 empty table gives an empty table. Sets are told apart by 64-bit digests, n-grams by 63 bits.
 """
 
-from collections import deque
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, LOWER, blocks, mix, prefix_hash, span_hash, table, words, written
+from .common import NOT_SPACE, LOWER, blocks, mix, prefix_hash, small, span_hash, table, words, written
 from .components import connected_components
 
 N = 5
@@ -42,15 +48,14 @@ THRESHOLD = 80
 FREQUENT = 24
 HEAVIEST = 1_000_000
 SLOT_BITS = 24
-BUCKETS = 256
+LEAST_BITS, MOST_BITS = 24, 44
 FLUSH_TOKENS = 2_000_000
-STREAM_ROWS = 2000
-LEADERS = 24
-NEIGHBOURS = 256
-LEADER_BYTES = 64 << 20
+STREAM_ROWS = 4096
+STREAM_COLUMNS = 4_000_000
 CHUNK_ROWS = 16
-BLOCK_COLUMNS = 2048
-BROADCAST_ROWS = 500_000
+BLOCK_ROWS = 256
+BLOCK_COLUMNS = 4096
+SPARSE = 8
 U = np.uint64
 _SALT = mix(np.arange(1, 33, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 
@@ -83,13 +88,17 @@ def ngram_sets(data: np.ndarray, offsets: np.ndarray, n: int = N) -> tuple[np.nd
     return row[new], h[new]
 
 
-def pack(slots: np.ndarray) -> bytes:
-    """Sorted slots as 16-bit differences; 65535 stands for a step without a slot."""
-    d = np.diff(slots.astype(np.int64), prepend=0)
+def pack(slots: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Slots, sorted within the parts that begin at `starts`, as 16-bit differences, a blob for each
+    part; 65535 stands for a step without a slot."""
+    d = np.diff(slots, prepend=0)
+    d[starts] = slots[starts]
     steps, rest = d // 65535, d % 65535
-    out = np.full(len(d) + int(steps.sum()), 65535, np.uint16)
-    out[np.cumsum(steps + 1) - 1] = rest
-    return out.tobytes()
+    ends = np.cumsum(steps + 1)
+    out = np.full(int(ends[-1]), 65535, np.uint16)
+    out[ends - 1] = rest
+    offsets = 2 * np.append(np.concatenate(([0], ends))[starts], ends[-1])
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
 
 
 def unpack(blob: bytes) -> np.ndarray:
@@ -97,23 +106,25 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(d, dtype=np.int64)[d != 65535]
 
 
-def frequent_slots(docs: DataFrame, n: int = N, least: int = FREQUENT, most: int = HEAVIEST) -> np.ndarray:
-    """Sorted 32-bit slots (leading hash bits) of n-grams in at least `least` documents, the `most` heaviest."""
+def frequent_slots(docs: DataFrame, n: int = N, least: int = FREQUENT, most: int = HEAVIEST) -> tuple[np.ndarray, int]:
+    """Slots (leading hash bits, so many that few n-grams share one) of n-grams in at least `least`
+    documents, sorted, the `most` heaviest; and the number of bits."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).head()[0] or 0
+    bits = min(max(LEAST_BITS, math.ceil(math.log2(size + 1))), MOST_BITS)
 
     def slots_of(batches):
         held, size = [], 0
 
         def flush():
-            s = np.sort(np.concatenate(held))
-            cuts = np.searchsorted(s, np.arange(BUCKETS + 1, dtype=np.int64) << SLOT_BITS)
-            full = np.flatnonzero(np.diff(cuts))
-            blobs = [pack(s[cuts[b] : cuts[b + 1]] & ((1 << SLOT_BITS) - 1)) for b in full]
-            return pa.record_batch([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "slots"])
+            s = np.sort(np.concatenate(held)).view(np.int64)
+            bucket = s >> SLOT_BITS
+            starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            return pa.record_batch([pa.array(bucket[starts]), pack(s & ((1 << SLOT_BITS) - 1), starts)], ["bucket", "slots"])
 
         for batch in batches:
             for _, _, data, offsets in blocks(batch.column(0)):
                 _, h = ngram_sets(data, offsets, n)
-                held.append((h >> U(32)).astype(np.uint32))
+                held.append(h >> U(64 - bits))
                 size += len(h)
                 if size >= FLUSH_TOKENS:
                     yield flush()
@@ -122,7 +133,7 @@ def frequent_slots(docs: DataFrame, n: int = N, least: int = FREQUENT, most: int
             yield flush()
 
     def count(batches):
-        bucket, counts = None, None
+        bucket, counts = None, np.zeros(1 << SLOT_BITS, np.uint16)
 
         def heavy():
             at = np.flatnonzero(counts >= least)
@@ -133,7 +144,8 @@ def frequent_slots(docs: DataFrame, n: int = N, least: int = FREQUENT, most: int
                 if b != bucket:
                     if bucket is not None:
                         yield heavy()
-                    bucket, counts = b, np.zeros(1 << SLOT_BITS, np.uint16)
+                        counts[:] = 0
+                    bucket = b
                 s = unpack(blob.as_py())
                 first = np.flatnonzero(np.diff(s, prepend=-1))
                 times = np.diff(np.append(first, len(s)))
@@ -141,16 +153,16 @@ def frequent_slots(docs: DataFrame, n: int = N, least: int = FREQUENT, most: int
         if bucket is not None:
             yield heavy()
 
-    slots = docs.select(F.col("text").cast("string")).mapInArrow(slots_of, "bucket int, slots binary")
+    slots = docs.select(F.col("text").cast("string")).mapInArrow(slots_of, "bucket long, slots binary")
     heavy = slots.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "slot long, df long")
     kept = heavy.orderBy(F.desc("df"), "slot").limit(most).select("slot").toPandas()["slot"].to_numpy()
-    return np.sort(kept.astype(np.uint32))
+    return np.sort(kept.astype(U)), bits
 
 
-def ordered_sets(data, offsets, heavy: np.ndarray, n: int):
+def ordered_sets(data, offsets, heavy: np.ndarray, bits: int, n: int):
     """(first, last, columns, node) by row: its columns in ascending global order, and its set's digest."""
     row, h = ngram_sets(data, offsets, n)
-    slot = (h >> U(32)).astype(np.uint32)
+    slot = h >> U(64 - bits)
     frequent = np.zeros(len(h), bool)
     if len(heavy) and len(h):
         at = np.minimum(np.searchsorted(heavy, slot), len(heavy) - 1)
@@ -192,13 +204,89 @@ def reaches(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
     return count >= need
 
 
-def root(joined: dict, label: int) -> int:
-    """What a label has become, by way of the others that it was joined to."""
-    while label in joined:
-        if (further := joined.get(joined[label])) is not None:
-            joined[label] = further
-        label = joined[label]
-    return label
+def merged(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (indices of rows, the smallest of a component) after the links a, b."""
+    while True:
+        la, lb = labels[a], labels[b]
+        open_links = la != lb
+        if not open_links.any():
+            return labels
+        a, b, la, lb = a[open_links], b[open_links], la[open_links], lb[open_links]
+        labels = labels.copy()
+        np.minimum.at(labels, np.maximum(la, lb), np.minimum(la, lb))
+        while (labels != labels[labels]).any():
+            labels = labels[labels]
+
+
+def block_components(sets: list[np.ndarray], threshold: int = THRESHOLD) -> np.ndarray:
+    """The component of every set among `sets` (ascending by size), as the first index in it.
+
+    Only columns of two sets and more count. Those of at most SPARSE sets give their pairs; the
+    others are multiplied in dense blocks, rows by BLOCK_ROWS and columns by BLOCK_COLUMNS. A pair
+    of row blocks ends when no pair of its sets can reach the bound, and is not begun when all its
+    sets are in one component."""
+    t, m = threshold, len(sets)
+    n = np.array([len(s) for s in sets], np.int64)
+    labels = np.arange(m)
+    column, row = np.concatenate(sets), np.repeat(np.arange(m), n)
+    order = np.argsort(column, kind="stable")
+    column = column[order]
+    same = column[1:] == column[:-1]
+    shared = np.zeros(len(column), bool)
+    shared[1:] |= same
+    shared[:-1] |= same
+    row, column = row[order[shared]], column[shared]
+    if not len(row):
+        return labels
+    new = np.concatenate(([True], column[1:] != column[:-1]))
+    column = np.cumsum(new) - 1
+    held = np.bincount(column)
+    narrow = held[column] <= SPARSE
+    r, c = row[narrow], column[narrow]
+    codes = []
+    for d in range(1, SPARSE):
+        at = np.flatnonzero(c[d:] == c[:-d])
+        codes.append(r[at] * m + r[at + d])
+    code, few = np.unique(np.concatenate(codes), return_counts=True)
+    few_a, few_b = code // m, code % m
+    nb = -(-m // BLOCK_ROWS)
+    unit = few_a // BLOCK_ROWS * nb + few_b // BLOCK_ROWS
+    by_unit = np.argsort(unit, kind="stable")
+    unit = unit[by_unit]
+    row, column = row[~narrow], column[~narrow]
+    by_row = np.argsort(row, kind="stable")
+    row, column = row[by_row], column[by_row]
+    edges = np.searchsorted(row, np.arange(0, nb + 1) * BLOCK_ROWS)
+    have = [np.unique(column[edges[k] : edges[k + 1]]) for k in range(nb)]
+
+    def dense(k, among):
+        r, c = row[edges[k] : edges[k + 1]] - k * BLOCK_ROWS, column[edges[k] : edges[k + 1]]
+        at = np.minimum(np.searchsorted(among, c), len(among) - 1)
+        in_it = among[at] == c
+        x = np.zeros((min(m, (k + 1) * BLOCK_ROWS) - k * BLOCK_ROWS, len(among)), np.float32)
+        x[r[in_it], at[in_it]] = 1
+        return x
+
+    for i in range(nb):
+        for j in range(i, nb):
+            a0, a1, b0, b1 = i * BLOCK_ROWS, min(m, (i + 1) * BLOCK_ROWS), j * BLOCK_ROWS, min(m, (j + 1) * BLOCK_ROWS)
+            if 100 * n[a1 - 1] < t * n[b0] or (labels[a0:a1] == labels[a0]).all() and (labels[b0:b1] == labels[a0]).all():
+                continue
+            counts = np.zeros((a1 - a0, b1 - b0), np.float32)
+            some = by_unit[np.searchsorted(unit, i * nb + j) : np.searchsorted(unit, i * nb + j, side="right")]
+            counts[few_a[some] - a0, few_b[some] - b0] = few[some]
+            need = -(-t * (n[a0:a1, None] + n[None, b0:b1]) // (100 + t))
+            both = np.intersect1d(have[i], have[j], assume_unique=True)
+            for at in range(0, len(both), BLOCK_COLUMNS):
+                if not (counts + (len(both) - at) >= need).any():
+                    break
+                part = both[at : at + BLOCK_COLUMNS]
+                x = dense(i, part)
+                counts += x @ (x if i == j else dense(j, part)).T
+            a, b = np.nonzero(counts >= need)
+            a, b = a + a0, b + b0
+            labels = merged(labels, a[a < b], b[a < b])
+    return labels
 
 
 def component_members(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataFrame:
@@ -212,7 +300,7 @@ def component_members(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -
     def first_blocks(batches):
         for batch in batches:
             for a, b, data, offsets in blocks(batch.column(1)):
-                first, last, columns, node = ordered_sets(data, offsets, heavy.value, n)
+                first, last, columns, node = ordered_sets(data, offsets, *heavy.value, n)
                 take = prefix_length(last - first, threshold)
                 at = np.repeat(first - np.cumsum(take) + take, take) + np.arange(take.sum())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(take))), pa.int32()), pa.array((columns[at] ^ (U(1) << U(63))).view(np.int64)))  # signed order is column order
@@ -220,137 +308,109 @@ def component_members(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -
 
     def whole_sets(batches):
         for batch in batches:
-            for a, b, data, offsets in blocks(batch.column(1)):
-                first, last, columns, node = ordered_sets(data, offsets, heavy.value, n)
+            for a, b, data, offsets in blocks(batch.column(0)):
+                first, last, columns, node = ordered_sets(data, offsets, *heavy.value, n)
                 blobs = [columns[i:j].tobytes() for i, j in zip(first, last, strict=True)]
-                yield pa.record_batch([pa.array(node), pa.array(blobs, pa.binary()), batch.column(2).slice(a, b - a), batch.column(3).slice(a, b - a)], ["node", "columns", "token", "salt"])
+                yield pa.record_batch([pa.array(node), pa.array(last - first, pa.int32()), batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(blobs, pa.binary())], ["node", "n", "token", "salt", "columns"])
 
     rows = written(hashed.mapInArrow(first_blocks, "doc_id long, n long, node long, digest long, prefix array<long>"), "ngram-rows")
-    sets = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    sets = rows.where("n > 0").groupBy("node").agg(F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix"))
     posting = sets.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    posting = posting.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("times > 1")
-    posting = written(posting.select("token", "node", F.col("n").cast("int"), F.col("pos").cast("int"), F.col("times").cast("int")), "ngram-posting")
+    times = posting.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("times")).where("times > 1")
+    posting = written(posting.join(times, "token").select("token", "node", "n", F.col("pos").cast("int").alias("pos"), "times"), "ngram-posting")
+    few, many = posting.where(F.col("times") <= FREQUENT), posting.where(F.col("times") > FREQUENT)
+    # sets with columns of many sets: how many, and the first of them, by which they are multiplied
+    hubs = many.groupBy("node").agg(F.count(F.lit(1)).alias("others"), F.min(F.struct("pos", "token")).alias("x"), F.first("n").alias("n"))
+    hubs = written(hubs.select("node", "n", "others", F.col("x.token").alias("token")), "ngram-hubs")
 
     # product of the first blocks over columns of few sets, and the bound on what can still come
     t = threshold
-    few, many = posting.where(F.col("times") <= FREQUENT), posting.where(F.col("times") > FREQUENT)
-    size_bound = (100 * F.col("na") >= t * F.col("nb")) & (100 * F.col("nb") >= t * F.col("na"))
-    in_many = many.groupBy("node").agg(F.count(F.lit(1)).alias("others"))
-    last = rows.where("n > 0").groupBy("node").agg(F.max(F.element_at("prefix", -1)).alias("last"))
-    last = last.join(in_many, "node", "left").select("node", "last", F.coalesce("others", F.lit(0)).alias("others"))
-    beyond = lambda n: F.ceil(F.col(n) * t / 100) - 1  # noqa: E731  columns of a set after its first block
-    need = t * (F.col("na") + F.col("nb"))
+    sizes_meet = (100 * F.col("na") >= t * F.col("nb")) & (100 * F.col("nb") >= t * F.col("na"))
     counts = few.select("token", F.col("node").alias("a"), F.col("n").alias("na")).join(few.select("token", F.col("node").alias("b"), F.col("n").alias("nb")), "token")
-    counts = counts.where((F.col("a") < F.col("b")) & size_bound).groupBy("a", "b").agg(F.count(F.lit(1)).alias("count"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    counts = counts.join(last.toDF("a", "last_a", "others_a"), "a").join(last.toDF("b", "last_b", "others_b"), "b")
-    # up to where the first block that ends first ends, the count is complete
-    rest = F.when(F.col("last_a") < F.col("last_b"), beyond("na")).when(F.col("last_a") > F.col("last_b"), beyond("nb")).otherwise(F.least(beyond("na"), beyond("nb")))
-    counts = counts.where((100 + t) * (F.col("count") + F.least("others_a", "others_b") + rest) >= need)
-    candidates = written(counts.select("a", "b"), "ngram-candidates")
-
-    # columns of many sets are looked through by neighbourhoods: one row a set, with its rarest such column
-    active = many.groupBy("node").agg(F.min(F.struct("pos", "token", "times")).alias("x"))
-    active = active.select("node", "x.token", F.pmod(F.xxhash64("node"), F.ceil(F.col("x.times") / STREAM_ROWS)).alias("salt"))
-    paired = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    active = active.join(paired, "node", "full")
-    ids = rows.select("node", "doc_id").join(active, "node").groupBy("node", "token", "salt").agg(F.min("doc_id").alias("id"))
-    ids = written(ids, "ngram-active")
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    chosen = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "text", "token", "salt")
-    matrix = written(chosen.mapInArrow(whole_sets, "node long, columns binary, token long, salt long"), "ngram-matrix", "lz4")
-
-    def stream(batches):
-        """Links between sets with the same rarest shared column, each held against the leaders so far."""
-        key, leaders = None, []
-        for batch in batches:
-            a, b = [], []
-            tokens, salts, nodes = (batch.column(i).to_numpy() for i in (2, 3, 0))
-            for token, salt, node, blob in zip(tokens, salts, nodes, batch.column(1), strict=True):
-                if (token, salt) != key:
-                    key, leaders = (token, salt), []
-                columns = np.frombuffer(blob.as_py(), U)
-                hits = [k for k, (_, other) in enumerate(leaders) if reaches(columns, other, threshold)]
-                for k in hits:
-                    a.append(node)
-                    b.append(leaders[k][0])
-                if not hits:
-                    leaders = [*leaders[-LEADERS + 1 :], (node, columns)]
-                    while len(leaders) > 1 and sum(c.nbytes for _, c in leaders) > LEADER_BYTES:
-                        del leaders[0]
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    def merge(batches):
-        """Links between components: each set is held against the NEIGHBOURS sets before it, until
-        it has met one of a component or that component is its own."""
-        key = None
+    counts = counts.where((F.col("a") < F.col("b")) & sizes_meet).groupBy("a", "b").agg(F.count(F.lit(1)).alias("count"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    others = small(hubs.select("node", "others"))
+    counts = counts.join(others.toDF("a", "others_a"), "a", "left").join(others.toDF("b", "others_b"), "b", "left")
+    # where one first block ends the count is complete, but for columns of many sets
+    zero = F.lit(0)
+    to_come = F.least(F.coalesce("others_a", zero), F.coalesce("others_b", zero)) + F.ceil(F.greatest("na", "nb") * t / 100) - 1
+    candidates = written(counts.where((100 + t) * (F.col("count") + to_come) >= t * (F.col("na") + F.col("nb"))).select("a", "b"), "ngram-candidates")
+
+    # whole sets of all that is in either, from one row each, in streams by their first column of many sets
+    parts = hubs.groupBy("token").agg(F.ceil(F.greatest(F.count(F.lit(1)) / STREAM_ROWS, F.sum("n") / STREAM_COLUMNS)).alias("parts"))
+    parts = small(written(parts.where("parts > 1"), "ngram-parts"))
+    nothing = F.lit(None).cast("long")
+    active = rows.where("n > 0").select("node", F.struct(F.col("doc_id").isNull().alias("late"), F.coalesce("doc_id", F.lit(0)).alias("id"), "digest").alias("who"), nothing.alias("token"), F.lit(0).alias("used"))
+    active = active.unionByName(hubs.select("node", "token", F.lit(1).alias("used")), True)
+    active = active.unionByName(candidates.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).alias("used")), True)
+    active = active.groupBy("node").agg(F.min("who").alias("who"), F.max("token").alias("token"), F.max("used").alias("used")).where("used = 1")
+    salt = F.when(F.col("token").isNull(), F.xxhash64("node")).otherwise(F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))))
+    active = written(active.join(parts, "token", "left").select("who.late", "who.id", "who.digest", "token", salt.alias("salt")), "ngram-active")
+    chosen = hashed.select("text", F.col("doc_id").isNull().alias("late"), F.coalesce("doc_id", F.lit(0)).alias("id"), "digest").join(small(active), ["late", "id", "digest"])
+    matrix = chosen.select("text", "token", "salt").mapInArrow(whole_sets, "node long, n int, token long, salt long, columns binary")
+    matrix = matrix.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "node")
+
+    def streams(batches):
+        """Rows of one stream after the other, with their component in it and their chunk of that."""
+        key, held, seen = None, [], None
+
+        def settle():
+            sets = [np.frombuffer(x, U) for _, _, x in held]
+            labels = block_components(sets, threshold) if len(sets) > 1 else np.zeros(1, np.int64)
+            node = np.array([x for x, _, _ in held], np.int64)
+            order = np.argsort(labels, kind="stable")
+            first = np.searchsorted(labels[order], labels[order])
+            chunk = np.empty(len(order), np.int32)
+            chunk[order] = (np.arange(len(order)) - first) // CHUNK_ROWS
+            # a component is called after its smallest node
+            least = np.full(len(node), np.iinfo(np.int64).max)
+            np.minimum.at(least, labels, node)
+            token, salt = key
+            same = [pa.array(np.full(len(node), x if x is not None else 0, np.int64), mask=np.full(len(node), x is None)) for x in (token, salt)]
+            return pa.record_batch([pa.array(node), pa.array([x for _, x, _ in held], pa.int32()), *same, pa.array(least[labels]), pa.array(chunk), pa.array([x for _, _, x in held], pa.binary())], ["node", "n", "token", "salt", "label", "chunk", "columns"])
+
         for batch in batches:
-            a, b = [], []
-            tokens, salts, labels, nodes = (batch.column(i).to_numpy() for i in (2, 3, 4, 0))
-            for token, salt, label, node, blob in zip(tokens, salts, labels, nodes, batch.column(1), strict=True):
+            for node, size, token, salt, blob in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if (token, salt) != key:
-                    key, before, joined, held = (token, salt), deque(), {}, 0
-                columns = np.frombuffer(blob.as_py(), U)
-                own = root(joined, label)
-                for other, of, theirs in reversed(before):
-                    of = root(joined, of)
-                    if of != own and reaches(columns, theirs, threshold):
-                        joined[of] = own
-                        a.append(node)
-                        b.append(other)
-                before.append((node, label, columns))
-                held += columns.nbytes
-                while len(before) > NEIGHBOURS or held > LEADER_BYTES and len(before) > 1:
-                    held -= before.popleft()[2].nbytes
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    if held:
+                        yield settle()
+                    key, held, seen = (token, salt), [], None
+                if node != seen:  # rows of one set, where many without a doc_id repeat a text
+                    held.append((node, size, blob))
+                    seen = node
+        if held:
+            yield settle()
+
+    matrix = written(matrix.mapInArrow(streams, "node long, n int, token long, salt long, label long, chunk int, columns binary"), "ngram-matrix", "lz4")
+
+    # pairs of components of different streams that share a column of many sets, by chunks
+    placed = small(matrix.select("node", F.xxhash64("token", "salt").alias("stream"), "label", "chunk"))
+    side = many.join(placed, "node").groupBy("token", "stream", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"))  # columns from this one on
+    side = written(side, "ngram-sides")
+    several = small(written(side.groupBy("token").agg(F.min("stream").alias("lo"), F.max("stream").alias("hi")).where("lo < hi").select("token"), "ngram-shared"))
+    side = side.join(several, "token", "left_semi")
+    left, right = side.toDF("token", "sa", "la", "lo_a", "hi_a", "ra"), side.toDF("token", "sb", "lb", "lo_b", "hi_b", "rb")
+    ranges_meet = (100 * F.col("hi_a") >= t * F.col("lo_b")) & (100 * F.col("hi_b") >= t * F.col("lo_a"))
+    overlap_bound = (100 + t) * F.least("ra", "rb") >= t * (F.col("lo_a") + F.col("lo_b"))
+    labels = left.join(right, "token").where((F.col("sa") < F.col("sb")) & ranges_meet & overlap_bound).select("la", "lb").distinct()
+    chunks = small(written(matrix.groupBy("label", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "ngram-chunks"))
+    units = labels.join(chunks.toDF("la", "ca", "lo_a", "hi_a"), "la").join(chunks.toDF("lb", "cb", "lo_b", "hi_b"), "lb").where(ranges_meet)
+    of_a, of_b = (placed.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"), F.col("chunk").alias(f"c{x}")) for x in "ab")
+    found = candidates.join(of_a, "a").join(of_b, "b").where("la <> lb")
+    units = units.select("la", "ca", "lb", "cb").unionByName(found.select("la", "ca", "lb", "cb"))
+    one, other = F.struct(F.col("la").alias("label"), F.col("ca").alias("chunk")), F.struct(F.col("lb").alias("label"), F.col("cb").alias("chunk"))
+    units = written(units.select(F.least(one, other).alias("x"), F.greatest(one, other).alias("y")).distinct(), "ngram-pairs")
+    sets = matrix.groupBy("label", "chunk").agg(F.collect_list("columns").alias("columns"))  # CHUNK_ROWS of them at most
+    units = units.select(F.col("x.label").alias("la"), F.col("x.chunk").alias("ca"), F.col("y.label").alias("lb"), F.col("y.chunk").alias("cb"))
+    units = units.join(sets.toDF("la", "ca", "columns_a"), ["la", "ca"]).join(sets.toDF("lb", "cb", "columns_b"), ["lb", "cb"]).select("la", "lb", "columns_a", "columns_b")
 
     def verify(batches):
         for batch in batches:
-            keep = [reaches(np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U), threshold) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            keep = [any(reaches(x, y, threshold) for x in of_a for y in of_b) for of_a, of_b in ([[np.frombuffer(s, U) for s in c.as_py()] for c in pair] for pair in zip(batch.column(2), batch.column(3), strict=True))]
             yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def links(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "ngram-pairs")
-        ends = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ngram-ends")
-        ends = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
-        sets = matrix.select("node", "columns").join(ends, "node", "left_semi")
-        both = pairs.join(sets.toDF("a", "columns_a"), "a").join(sets.toDF("b", "columns_b"), "b")
-        return both.select("a", "b", "columns_a", "columns_b").mapInArrow(verify, "a long, b long")
-
-    def labelled(edges: DataFrame) -> DataFrame:
-        """The posting of columns that lie in several components, with each row's component."""
-        labels = connected_components(edges)
-        p = many.join(labels, "node", "left").select("token", "times", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
-        several = p.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-        return written(p.join(several, "token"), "ngram-labelled")
-
-    near = matrix.where("token is not null").repartition("token", "salt").sortWithinPartitions("token", "salt", F.octet_length("columns"), "node").mapInArrow(stream, "a long, b long")
-    edges = written(near.unionByName(links(candidates)), "ngram-links")
-
-    open_columns = labelled(edges)
-    around = open_columns.groupBy("node").agg(F.max(F.struct("times", "token")).alias("x"), F.first("label").alias("label"))
-    around = around.select("node", "x.token", F.pmod(F.xxhash64("node"), F.ceil(F.col("x.times") / STREAM_ROWS)).alias("salt"), "label")
-    around = matrix.select("node", "columns").join(around, "node").select("node", "columns", "token", "salt", "label")
-    around = around.repartition("token", "salt").sortWithinPartitions("token", "salt", F.octet_length("columns"), "node").mapInArrow(merge, "a long, b long")
-    edges = written(edges.unionByName(around), "ngram-links")
-
-    open_columns = labelled(edges)
-    # what is left, by chunks of components, so that sets with many common columns meet once and
-    # not once a column
-    share = Window.partitionBy("label")
-    members = open_columns.select("label", "node", "n").distinct().withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.count(F.lit(1)).over(share) / CHUNK_ROWS)))
-    members = written(members, "ngram-members")
-    side = open_columns.join(members.select("node", "chunk"), "node").groupBy("token", "label", "chunk")
-    side = side.agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"))  # columns from this one on
-    left, right = side.toDF("token", "la", "ca", "lo_a", "hi_a", "ra"), side.toDF("token", "lb", "cb", "lo_b", "hi_b", "rb")
-    sizes_meet = (100 * F.col("hi_a") >= t * F.col("lo_b")) & (100 * F.col("hi_b") >= t * F.col("lo_a"))
-    overlap_bound = (100 + t) * F.least("ra", "rb") >= t * (F.col("lo_a") + F.col("lo_b"))
-    chunks = left.join(right, "token").where((F.col("la") < F.col("lb")) & sizes_meet & overlap_bound).select("la", "ca", "lb", "cb").distinct()
-    pairs = chunks.join(members.toDF("la", "a", "na", "ca"), ["la", "ca"]).join(members.toDF("lb", "b", "nb", "cb"), ["lb", "cb"]).where(size_bound).select("a", "b")
-    edges = written(edges.unionByName(links(pairs)), "ngram-links")
-
-    labels = connected_components(edges)
-    members = rows.select("doc_id", "n", "node", "digest").join(labels, "node", "left")
+    further = connected_components(units.mapInArrow(verify, "a long, b long"))
+    of_set = matrix.select("node", "label").join(small(further.toDF("label", "to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    members = rows.select("doc_id", "n", "node", "digest").join(small(written(of_set, "ngram-labels")), "node", "left")
     return members.withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "node")))
 
 

@@ -2,6 +2,8 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
+
 from keystrata.llm import ngram_join
 from keystrata.llm.components import connected_components
 
@@ -30,6 +32,17 @@ def brute(rows):
     return sorted(out, key=repr)
 
 
+def brute_by_text(rows):
+    """`brute` over different texts, whose rows then share size and component."""
+    texts = sorted({t for _, t in rows})
+    group = {texts[k]: (n, c) for k, n, c in brute(list(enumerate(texts)))}
+    names = {}
+    for doc_id, t in rows:
+        c = group[t][1]
+        names[c] = min((x for x in (names.get(c), doc_id) if x is not None), default=None)
+    return sorted(((doc_id, group[t][0], names[group[t][1]]) for doc_id, t in rows), key=repr)
+
+
 def corpus(seed, copies=6):
     rng = random.Random(seed)
     passage = random_words(rng, 30)
@@ -93,3 +106,36 @@ def test_keep_one_tells_texts_of_one_id_apart(spark, make_docs):
     kept = ngram_join.keep_one(make_docs(texts, ids, extra=True))
     assert kept.columns == make_docs(texts, ids, extra=True).columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(7, a), (7, b), (7, c), (None, a), (None, d), (None, None), (None, None)], key=repr)
+
+
+def test_block_components_against_pairs(monkeypatch):
+    """Near copies, sets of other sizes and sets with some common columns, in blocks of a few rows and columns."""
+    for name, value in (("BLOCK_ROWS", 7), ("BLOCK_COLUMNS", 16), ("SPARSE", 3)):
+        monkeypatch.setattr(ngram_join, name, value)
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        pool = np.sort(rng.choice(1 << 60, 400, replace=False).astype(np.uint64))
+        sets = []
+        for _ in range(6):
+            base = rng.choice(pool, rng.integers(5, 80), replace=False)
+            for _ in range(rng.integers(1, 12)):
+                other = base.copy()
+                other[: rng.integers(0, 2 + len(base) // 6)] = rng.integers(1 << 61, 1 << 62)
+                sets.append(np.unique(other))
+        sets.sort(key=len)
+        want = np.arange(len(sets))
+        for i, j in combinations(range(len(sets)), 2):
+            if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j])):
+                want[want == max(want[i], want[j])] = min(want[i], want[j])
+                assert ngram_join.reaches(sets[i], sets[j])
+        assert (ngram_join.block_components(sets) == want).all()
+
+
+def test_many_rows_without_an_id(spark, make_docs):
+    """A thousand rows without a doc_id, some of one text, meet their sets once each."""
+    rng = random.Random(8)
+    texts = [random_words(rng, 30, 300) for _ in range(20)]
+    texts += [f"{t} more" for t in texts]
+    texts = [texts[k % len(texts)] for k in range(1000)]
+    got = ngram_join.jaccard_components(make_docs(texts, [None] * 997 + [5, 6, 7])).collect()
+    assert sorted(map(tuple, got), key=repr) == brute_by_text(list(zip([None] * 997 + [5, 6, 7], texts, strict=True)))
