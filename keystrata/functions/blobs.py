@@ -65,3 +65,18 @@ def human_bytes(n: Column) -> Column:
     for i, unit in enumerate(units[1:], 1):
         out = F.when(n >= 1024**i, F.concat(F.format_string("%.2f", n / float(1024**i)), F.lit(f" {unit}"))).otherwise(out)
     return out
+
+
+def human_duration(nanos: Column) -> Column:
+    """Nanoseconds as 12ns, 1.50ms, 3.25s, 2m 5s or 1h 30m."""
+    seconds = F.floor(nanos / 1_000_000_000)
+    shown = lambda unit, name: F.concat(F.format_string("%.2f", nanos / float(unit)), F.lit(name))
+    pair = lambda a, x, b, y: F.concat(a.cast("string"), F.lit(f"{x} "), b.cast("string"), F.lit(y))
+    return (
+        F.when(nanos < 1_000, F.concat(nanos.cast("string"), F.lit("ns")))
+        .when(nanos < 1_000_000, shown(1_000, "µs"))
+        .when(seconds < 1, shown(1_000_000, "ms"))
+        .when(seconds < 60, shown(1_000_000_000, "s"))
+        .when(seconds < 3600, pair(F.floor(seconds / 60), "m", seconds % 60, "s"))
+        .otherwise(pair(F.floor(seconds / 3600), "h", F.floor(seconds % 3600 / 60), "m"))
+    )

@@ -17,28 +17,33 @@ def _modulus(bits: int, kind: str) -> Column:
 
 def wrap(value: Column, kind: str) -> Column:
     """Any integer or decimal value modulo 2^bits, in the type that holds `kind`."""
-    return _wrap(value, kind, "decimal(38,0)")
+    bits, spark_type = TYPES[kind]
+    return F.pmod(value.cast("decimal(38,0)"), _modulus(bits, "decimal(38,0)")).cast(spark_type)
 
 
-def _wrap(value: Column, kind: str, wide: str) -> Column:
+def _wrap(value: Column, kind: str) -> Column:
+    """A sum, a difference or a product that its type holds: up to 32 bits, a bigint of which the low bits count."""
     bits, spark_type = TYPES[kind]
-    return F.pmod(value.cast(wide), _modulus(bits, wide)).cast(spark_type)
+    return value.bitwiseAND(F.lit((1 << bits) - 1)).cast(spark_type) if bits <= 32 else wrap(value, kind)
 
 
 def add(a: Column, b: Column, kind: str) -> Column:
     wide = _wide(kind)
-    return _wrap(a.cast(wide) + b.cast(wide), kind, _result(kind))
+    return _wrap(a.cast(wide) + b.cast(wide), kind)
 
 
 def sub(a: Column, b: Column, kind: str) -> Column:
     wide = _wide(kind)
-    return _wrap(a.cast(wide) - b.cast(wide), kind, _result(kind))
+    return _wrap(a.cast(wide) - b.cast(wide), kind)
 
 
 def mul(a: Column, b: Column, kind: str) -> Column:
-    if kind != "u64":
-        wide, result = ("bigint", "bigint") if kind in ("u8", "u16") else ("decimal(19,0)", "decimal(38,0)")
-        return _wrap(a.cast(wide) * b.cast(wide), kind, result)
+    a, b = a.cast(_wide(kind)), b.cast(_wide(kind))
+    if kind in ("u8", "u16"):
+        return _wrap(a * b, kind)
+    if kind == "u32":  # by halves of b, so that no product leaves a bigint
+        half = F.lit(0xFFFF)
+        return _wrap(a * b.bitwiseAND(half) + (a * F.shiftright(b, 16)).bitwiseAND(half) * F.lit(1 << 16), kind)
     # a 128-bit product does not fit 38 digits: the upper halves' product wraps away anyway
     half = F.lit(str(1 << 32)).cast("decimal(18,0)")
     low = lambda x: F.pmod(x.cast("decimal(20,0)"), half).cast("decimal(18,0)")
@@ -49,12 +54,8 @@ def mul(a: Column, b: Column, kind: str) -> Column:
 
 def neg(a: Column, kind: str) -> Column:
     """Two's complement."""
-    return _wrap(-a.cast(_wide(kind)), kind, _result(kind))
+    return _wrap(-a.cast(_wide(kind)), kind)
 
 
 def _wide(kind: str) -> str:
     return "bigint" if TYPES[kind][0] <= 32 else "decimal(37,0)"
-
-
-def _result(kind: str) -> str:
-    return "bigint" if TYPES[kind][0] <= 32 else "decimal(38,0)"

@@ -1,6 +1,6 @@
-"""Counts, statistics and verification of whole collections, histograms, Merkle roots."""
+"""Counts, statistics and verification of whole collections, histograms."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,24 +41,3 @@ def percentile(df: DataFrame, value: str, bounds: list[float], p: float) -> Data
 def checksum(df: DataFrame, *columns: str) -> DataFrame:
     """Independent of order and partitions."""
     return df.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64(*columns)).alias("checksum"))
-
-
-def merkle_root(df: DataFrame, order: str, value: Column) -> str:
-    """Root over the rows in `order`. Leaves and inner nodes have different prefixes; an odd last
-    node stands for both children. The order is found by partition-wise numbering, every level is
-    a grouped fold, and only the root reaches the driver."""
-    n = df.count()
-    if n == 0:
-        import hashlib
-
-        return hashlib.sha256(b"empty").hexdigest()
-    by = F.col(order)
-    ranged = df.select(by.alias("k"), F.sha2(F.concat(F.lit(b"\x00"), value.cast("binary")), 256).alias("h")).repartitionByRange("k").withColumn("part", F.spark_partition_id())
-    level = ranged.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy("k")))
-    sizes = level.groupBy("part").count().withColumn("base", F.sum("count").over(Window.orderBy("part")) - F.col("count"))
-    level = level.join(F.broadcast(sizes), "part").select((F.col("i") + F.col("base") - 1).alias("i"), "h")
-    while n > 1:
-        first, second = F.min_by("h", "i"), F.max_by("h", "i")
-        level = level.groupBy(F.floor(F.col("i") / 2).alias("i")).agg(F.sha2(F.concat(F.lit(b"\x01"), F.unhex(first), F.unhex(second)), 256).alias("h"))
-        n = (n + 1) // 2
-    return level.first()["h"]

@@ -41,7 +41,9 @@ def delete(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 def read_modify_write(df: DataFrame, keys: DataFrame, key: str, value: str, change) -> DataFrame:
     """change(old value) for the given keys; a missing key starts from null."""
-    old = keys.select(key).distinct().join(df, key, "left")
+    keys = keys.select(key).distinct()
+    # the semi join leaves the collection where it is; the left join then meets its few rows
+    old = keys.join(df.join(keys, key, "left_semi"), key, "left")
     return upsert(df, old.withColumn(value, change(F.col(value))), key)
 
 

@@ -1,16 +1,38 @@
 """Shards as a table of half-open key ranges, routing as joins, and merges of partial results."""
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+SPLITTERS = 1024
+
+
+def steps(x: Column, bounds: list, results: list) -> Column:
+    """results[number of bounds <= x], found by binary search in one expression."""
+    if not bounds:
+        return results[0]
+    mid = len(bounds) // 2
+    return F.when(x < F.lit(bounds[mid]), steps(x, bounds[:mid], results[: mid + 1])).otherwise(steps(x, bounds[mid + 1 :], results[mid + 1 :]))
+
+
 def route(df: DataFrame, shards: DataFrame, key: str) -> DataFrame:
-    """Every row with the shard whose [start_key, end_key) holds its key. The lower bounds become
-    steps in the keys' order by an as-of window per leading byte of nothing but the shard table:
-    the table of ranges is metadata, a row a shard, and Spark broadcasts it."""
-    return df.join(F.broadcast(shards), (F.col(key) >= F.col("start_key")) & (F.col(key) < F.col("end_key")))
+    """Every row with the shard whose [start_key, end_key) holds its key.
+
+    Starts of shards, all of them or a sample of about SPLITTERS, cut the keys into blocks. A key's
+    block is found by binary search in an expression, a shard is in each block that it reaches into,
+    and the two meet by equality; so no row is held against all shards."""
+    n = shards.count()  # metadata, a row a shard
+    starts = shards.select("start_key").distinct()
+    starts = starts if n <= SPLITTERS else starts.sample(SPLITTERS / n, seed=1)
+    bounds = sorted(r[0] for r in starts.limit(4 * SPLITTERS).collect() if r[0] is not None)
+    block = lambda x: steps(x, bounds, [F.lit(i) for i in range(len(bounds) + 1)])
+    first, last = block(F.col("start_key")), block(F.col("end_key"))
+    reached = shards.where("start_key < end_key").withColumn("_block", F.explode(F.sequence(first, last)))
+    inside = (F.col(key) >= F.col("start_key")) & (F.col(key) < F.col("end_key"))
+    return df.withColumn("_block", block(F.col(key))).join(reached, "_block").where(inside).drop("_block")
 
 
 def overlapping(shards: DataFrame, start, end) -> DataFrame:
@@ -47,20 +69,24 @@ def overlap_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return of_left.unionByName(of_right)
 
 
+def key_hash(key: Column) -> Column:
+    """32 bits of a hash that other engines and languages have as well."""
+    return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint")
+
+
 def hash_shard(key: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    return F.pmod(key_hash(key), F.lit(n)).cast("int")
 
 
 def ring_shard(df: DataFrame, key: str, nodes: list[str], virtual: int = 100) -> DataFrame:
-    """Consistent hashing: the node whose point on the ring follows the key's. The ring's size is
-    fixed by its arguments, so it is one sorted array in the expression."""
-    spark = df.sparkSession
-    points = spark.createDataFrame([(n, v) for n in nodes for v in range(virtual)], "node string, v int")
-    points = points.select("node", F.crc32(F.concat_ws("#", "node", F.col("v").cast("string")).cast("binary")).alias("point")).orderBy("point", "node").collect()
-    ring = F.array(*[F.struct(F.lit(p.point).cast("bigint").alias("point"), F.lit(p.node).alias("node")) for p in points])
-    place = F.crc32(F.col(key).cast("string").cast("binary"))
-    after = F.filter(ring, lambda p: p["point"] >= place)
-    return df.withColumn("node", F.when(F.size(after) > 0, after[0]["node"]).otherwise(ring[0]["node"]))
+    """Consistent hashing: the node whose point on the ring is the key's or the next one after it. The
+    ring's size is fixed by its arguments, and it is searched in one expression."""
+    ring = {}
+    for point, node in sorted(((int(hashlib.md5(f"{n}#{v}".encode()).hexdigest()[:8], 16), n) for n in nodes for v in range(virtual)), reverse=True):
+        ring[point] = node  # of points that meet the first name counts
+    points = sorted(ring)
+    owners = [F.lit(ring[p]) for p in [*points, points[0]]]
+    return df.withColumn("_place", key_hash(F.col(key))).withColumn("node", steps(F.col("_place"), [p + 1 for p in points], owners)).drop("_place")
 
 
 def adjacent(shards: DataFrame) -> DataFrame:
@@ -90,3 +116,56 @@ def merge_sorted(*parts: DataFrame, by: str) -> DataFrame:
     """Ties come in the order of the parts."""
     numbered = [p.withColumn("shard", F.lit(i)) for i, p in enumerate(parts)]
     return merge(*numbered).orderBy(by, "shard")
+
+
+def merge_sorted_distinct(*parts: DataFrame, by: str) -> DataFrame:
+    """Rows that are equal come once."""
+    return merge_distinct(*parts).orderBy(by)
+
+
+def without_repeats(df: DataFrame, value: str, order: str, within: str) -> DataFrame:
+    """Rows that differ from the one before them in the order; the first of every run of equal values stays,
+    in each group of `within` on its own."""
+    before = Window.partitionBy(within).orderBy(order)
+    return df.withColumns({"_first": F.row_number().over(before) == 1, "_old": F.lag(value).over(before)}).where(F.col("_first") | ~F.col(value).eqNullSafe(F.col("_old"))).drop("_first", "_old")
+
+
+def midpoint(start: bytes, end: bytes) -> bytes:
+    """A key to split a range at: the average byte by byte over the shorter length, where an odd sum
+    adds one to the next byte's; never the start itself."""
+    out, odd = bytearray(), 0
+    for a, b in zip(start, end, strict=False):
+        odd, half = (a + b + odd) % 2, (a + b + odd) // 2
+        out.append(half)
+    if out and out == start[: len(out)]:
+        out[-1] = min(out[-1] + 1, 255)
+    return bytes(out)
+
+
+def temperature(shards: DataFrame, most_keys: int, most_bytes: int) -> DataFrame:
+    """Hot shards have more keys or bytes than the limits, cold ones less of both."""
+    keys, size = F.col("key_count"), F.col("bytes")
+    return shards.withColumns({"hot": (keys > most_keys) | (size > most_bytes), "cold": (keys < most_keys) & (size < most_bytes)})
+
+
+def split(shards: DataFrame, shard_id: int, at, new_id: int) -> DataFrame:
+    """The shard up to `at` keeps its number, what follows gets another; each is taken to have half of what there was."""
+    row = shards.where(F.col("shard_id") == shard_id).first()
+    if row is None or not row["start_key"] < at < row["end_key"]:
+        raise ValueError(f"shard {shard_id} can't be split at {at!r}")
+    hit = F.col("shard_id") == shard_id
+    half = {c: F.when(hit, F.floor(F.col(c) / 2)).otherwise(F.col(c)) for c in ("key_count", "bytes") if c in shards.columns}
+    left = shards.withColumns({**half, "end_key": F.when(hit, F.lit(at)).otherwise(F.col("end_key"))})
+    right = shards.where(hit).withColumns({**half, "start_key": F.lit(at), "shard_id": F.lit(new_id).cast(shards.schema["shard_id"].dataType)})
+    return left.unionByName(right)
+
+
+def join_shards(shards: DataFrame, left_id: int, right_id: int, new_id: int) -> DataFrame:
+    """Two shards as one; the first has to end where the second begins, on the same node."""
+    rows = {r["shard_id"]: r for r in shards.where(F.col("shard_id").isin(left_id, right_id)).collect()}
+    if len(rows) != 2 or rows[left_id]["end_key"] != rows[right_id]["start_key"] or rows[left_id]["node"] != rows[right_id]["node"]:
+        raise ValueError(f"shards {left_id} and {right_id} don't follow each other on one node")
+    both = shards.where(F.col("shard_id").isin(left_id, right_id))
+    sums = [F.sum(c).alias(c) for c in ("key_count", "bytes") if c in shards.columns]
+    one = both.agg(F.lit(new_id).cast(shards.schema["shard_id"].dataType).alias("shard_id"), F.min("start_key").alias("start_key"), F.max("end_key").alias("end_key"), F.first("node").alias("node"), *sums)
+    return shards.where(~F.col("shard_id").isin(left_id, right_id)).unionByName(one.select(*shards.columns))

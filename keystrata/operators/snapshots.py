@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import filesystem
 from .aggregates import checksum
 
 
@@ -53,3 +54,28 @@ def increment(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def apply_increment(old: DataFrame, step: DataFrame, key: str) -> DataFrame:
     rest = old.join(step.select(key).distinct(), key, "left_anti")
     return rest.unionByName(step.where("op = 'put'").drop("op"))
+
+
+def backups(spark, folder: str) -> DataFrame:
+    """The backups below a folder with the rows and checksums of their manifests."""
+    found = spark.read.schema("rows long, checksum long").json(f"{folder}/*/manifest")
+    return found.select(F.element_at(F.split("_metadata.file_path", "/"), -3).alias("name"), "rows", "checksum")
+
+
+def is_whole(spark, path: str) -> bool:
+    """Whether a backup still is what its manifest says."""
+    try:
+        restore(spark, path)
+    except ValueError:
+        return False
+    return True
+
+
+def delete_backup(path: str) -> None:
+    """Removes a backup, and nothing that does not look like one."""
+    from pyarrow.fs import FileType
+
+    files, at = filesystem(path)
+    if files.get_file_info(f"{at}/manifest").type != FileType.Directory:
+        raise ValueError(f"{path} is not a backup")
+    files.delete_dir(at)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.blobs import PLAINTEXT_BYTES
+from ..operators.keyed import page, read_cursor
 
 
 class Predicate:
@@ -105,6 +106,12 @@ def filter_plain(df: DataFrame, p: Predicate, limit: int = PLAINTEXT_BYTES) -> D
     return df.where(F.coalesce(compile_predicate(p, limit, left_first=True), F.lit(True)))
 
 
+def require_plain(df: DataFrame, column: str, limit: int = PLAINTEXT_BYTES) -> DataFrame:
+    """df for a reader that cannot compute on opaque values: running it fails if the column holds one."""
+    value = F.col(column)
+    return df.where(F.when(F.octet_length(value) > limit, F.raise_error(F.lit(f"{column} holds opaque values, which need compute"))).isNull())
+
+
 def flag_matches(df: DataFrame, p: Predicate, name: str = "predicate_result") -> DataFrame:
     """All rows with the predicate's result, for a reader who decides; rows of which it can't be told go."""
     return df.withColumn(name, compile_predicate(p)).where(F.col(name).isNotNull())
@@ -120,6 +127,8 @@ class Query:
     order: tuple[tuple[str, bool], ...] = ()
     skip: int = 0
     most: int | None = None
+    size: int | None = None
+    after: str | None = None
 
     def where(self, p: Predicate) -> Query:
         return replace(self, predicate=p if self.predicate is None else self.predicate & p)
@@ -136,6 +145,21 @@ class Query:
     def limit(self, n: int) -> Query:
         return replace(self, most=n)
 
+    def page_size(self, n: int) -> Query:
+        return replace(self, size=n)
+
+    def cursor(self, text: str) -> Query:
+        return replace(self, after=text)
+
+    def page(self, key: str, kind: str = "string") -> DataFrame:
+        """One page by key: `limit` rows, else `page_size`, else 100, from behind the cursor, with the cursor to go
+        on from and whether anything follows. `kind` is the key's type, which a cursor does not hold."""
+        df = self.source if self.predicate is None else filter_typed(self.source, self.predicate)
+        if self.after is not None:
+            df = df.where(F.col(key) > F.lit(read_cursor(self.after)).cast(kind))
+        n = self.most if self.most is not None else 100 if self.size is None else self.size
+        return page(df.select(*dict.fromkeys((*self.columns, key))) if self.columns else df, key, n, offset=self.skip)
+
     def run(self) -> DataFrame:
         df = self.source if self.predicate is None else filter_typed(self.source, self.predicate)
         if self.order:

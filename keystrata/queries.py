@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import blobs, unsigned
-from .operators import aggregates, changes, indexes, keyed, shards, snapshots
-from .plans.circuit import Constant, Load, compile_to_column, simplify
-from .plans.predicate import col, compile_predicate, filter_plain, filter_typed, flag_matches, query
-from .sources import files
+from .operators import aggregates, changes, indexes, keyed, merkle, shards, snapshots
+from .plans.circuit import Binary, Constant, Load, Unary, compile_to_column, measure, simplify
+from .plans.predicate import col, columns_of, compile_predicate, filter_plain, filter_typed, flag_matches, query, require_plain
+from .sources import files, shared
 from .streaming import feed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,10 +197,10 @@ def page_last(spark, sf_dir):
 
 
 @_register(
-    "SELECT event_id, ((row_number() OVER (ORDER BY event_id) - 1) // 100)::BIGINT AS chunk, (((row_number() OVER (ORDER BY event_id) - 1) // 100) + 1) * 100 < count(*) OVER () AS has_more FROM events"
+    "SELECT *, ((row_number() OVER (ORDER BY event_id) - 1) // 100)::BIGINT AS chunk, (((row_number() OVER (ORDER BY event_id) - 1) // 100) + 1) * 100 < count(*) OVER () AS has_more FROM events"
 )
 def chunked_results(spark, sf_dir):
-    return feed.chunked(_t(spark, sf_dir, "events").select("event_id"), "event_id", 100)
+    return feed.chunked(_t(spark, sf_dir, "events"), "event_id", 100)
 
 
 # Unsigned arithmetic and circuits
@@ -566,12 +566,20 @@ def overlap_pairs_of_levels(spark, sf_dir):
     return shards.overlap_pairs(level(key / 70), level((key + 40) / 250)).select("left_f", "right_f")
 
 
-@_register()
+_HASH = "('0x' || substr(md5(%s), 1, 8))::BIGINT"
+
+
+@_register(f"SELECT ({_HASH % 'o_orderkey::VARCHAR'} % 8)::INT AS shard, count(*) AS keys FROM orders GROUP BY 1")
 def hash_shards(spark, sf_dir):
     return _t(spark, sf_dir, "orders").groupBy(shards.hash_shard(F.col("o_orderkey"), 8).alias("shard")).agg(F.count(F.lit(1)).alias("keys"))
 
 
-@_register()
+@_register(
+    f"""WITH ring AS (SELECT {_HASH % "n || '#' || v::VARCHAR"} AS point, n AS node FROM (VALUES ('n1'), ('n2'), ('n3')) t(n), range(100) r(v)),
+    placed AS (SELECT o_orderkey, {_HASH % "o_orderkey::VARCHAR"} AS place FROM orders),
+    ends AS (SELECT point, min(node) AS node FROM ring GROUP BY point UNION ALL SELECT 4294967296, (SELECT min(node) FROM ring WHERE point = (SELECT min(point) FROM ring)))
+    SELECT node, count(*) AS keys FROM placed ASOF JOIN ends ON place <= point GROUP BY node"""
+)
 def ring_shards(spark, sf_dir):
     return shards.ring_shard(_t(spark, sf_dir, "orders"), "o_orderkey", ["n1", "n2", "n3"]).groupBy("node").agg(F.count(F.lit(1)).alias("keys"))
 
@@ -627,10 +635,25 @@ def per_key_aggregates(spark, sf_dir):
     )
 
 
-@_register()
+def _leaf():
+    return F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus")
+
+
+_MERKLE_SQL = """WITH RECURSIVE leaf AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, sha256('\\x00'::BLOB || encode(o_orderkey::VARCHAR || '|' || o_orderstatus)) AS h FROM orders),
+    up(level, i, h, n) AS (SELECT 0, i, h, (SELECT count(*) FROM leaf) FROM leaf
+    UNION ALL SELECT any_value(level) + 1, i // 2, sha256('\\x01'::BLOB || unhex(min_by(h, i)) || unhex(max_by(h, i))), (any_value(n) + 1) // 2 FROM up WHERE n > 1 GROUP BY i // 2)"""
+
+
+@_register(_MERKLE_SQL + " SELECT h AS root FROM up WHERE n = 1")
 def merkle_root(spark, sf_dir):
-    orders = _t(spark, sf_dir, "orders")
-    return spark.createDataFrame([(aggregates.merkle_root(orders, "o_orderkey", F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus")),)], "root string")
+    return spark.createDataFrame([(merkle.root(_t(spark, sf_dir, "orders"), "o_orderkey", _leaf()),)], "root string")
+
+
+@_register(_MERKLE_SQL + " SELECT level, h AS sibling FROM up WHERE n > 1 AND i = least(xor(700 >> level, 1), n - 1)")
+def merkle_proof(spark, sf_dir):
+    """What proves that the order in place 700 is in the tree."""
+    p = merkle.proof(_t(spark, sf_dir, "orders"), "o_orderkey", _leaf(), 700)
+    return spark.createDataFrame(list(enumerate(p.siblings)), "level int, sibling string")
 
 
 # Text formats and feeds
@@ -664,10 +687,7 @@ def cursors_of_all(spark, sf_dir):
 @_register("SELECT event_id, user_id, event_type FROM events WHERE user_id::VARCHAR LIKE '1%'")
 def change_feed(spark, sf_dir):
     """The events of matching users as a stream over all there is now."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    at = f"{root}/feed-{uuid.uuid4().hex}"
+    at = shared.shared_dir(spark, "feed")
     stream = feed.change_feed(spark, f"{sf_dir}/events.parquet*", _t(spark, sf_dir, "events").schema, "user_id", "1*")
     return feed.drain(stream.select("event_id", "user_id", "event_type"), f"{at}/out", f"{at}/checkpoint")
 
@@ -677,3 +697,180 @@ def partial_logic(spark, sf_dir):
     """Sides evaluated one after the other."""
     p = (col("o_orderstatus") > "F") & (col("o_totalprice") > 100000.0)
     return _t(spark, sf_dir, "orders").select("o_orderkey", compile_predicate(p, left_first=True).alias("result"))
+
+
+# What single rows of the inventory need besides
+
+
+@_register("SELECT DISTINCT k FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey < 900 UNION ALL SELECT o_custkey FROM orders UNION ALL SELECT c_custkey FROM customer WHERE c_custkey > 500)")
+def merge_sorted_distinct(spark, sf_dir):
+    """Sorted results of three shards as one, every key once."""
+    keys = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    return shards.merge_sorted_distinct(keys.where("k < 900"), _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), keys.where("k > 500"), by="k")
+
+
+@_register("SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS old FROM events) WHERE old IS DISTINCT FROM event_type")
+def without_repeats(spark, sf_dir):
+    """Every user's events that differ in type from the user's last one."""
+    return shards.without_repeats(_t(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "event_type", "event_id", "user_id")
+
+
+@_register("SELECT * FROM (VALUES ('61', '63', '62'), ('6161', '6163', '6162'), ('00', 'ff', '7f'), ('61', '62', '62'), ('6100', '62ffff', '6180'), ('ff', 'ff', 'ff'), ('', '61', '')) t(start_key, end_key, middle)")
+def key_midpoints(spark, sf_dir):
+    rows = [("61", "63"), ("6161", "6163"), ("00", "ff"), ("61", "62"), ("6100", "62ffff"), ("ff", "ff"), ("", "61")]
+    return spark.createDataFrame([(a, b, shards.midpoint(bytes.fromhex(a), bytes.fromhex(b)).hex()) for a, b in rows], "start_key string, end_key string, middle string")
+
+
+@_register(f"SELECT shard_id, bytes > 4500 AS hot, bytes < 4500 AS cold FROM {_SHARDS_SQL}")
+def shard_temperature(spark, sf_dir):
+    return shards.temperature(_shards(spark).withColumn("key_count", F.lit(10)), 20, 4500).select("shard_id", "hot", "cold")
+
+
+@_register(
+    f"""SELECT shard_id, start_key, CASE shard_id WHEN 1 THEN 200 ELSE end_key END AS end_key, node, CASE shard_id WHEN 1 THEN 2000 ELSE bytes END AS bytes FROM {_SHARDS_SQL}
+    UNION ALL SELECT 9, 200, 400, 100, 2000"""
+)
+def shard_split(spark, sf_dir):
+    return shards.split(_shards(spark), 1, 200, 9)
+
+
+@_register(f"SELECT shard_id, start_key, end_key, node, bytes FROM {_SHARDS_SQL}")
+def shard_split_and_join(spark, sf_dir):
+    return shards.join_shards(shards.split(_shards(spark), 1, 200, 9), 1, 9, 1)
+
+
+@_register("SELECT p_partkey, p_name FROM part WHERE p_size > 20")
+def plain_values_only(spark, sf_dir):
+    """A filter without compute: an opaque value would be an error."""
+    part = _t(spark, sf_dir, "part")
+    return filter_typed(require_plain(part, "p_name"), col("p_size") > 20).select("p_partkey", "p_name")
+
+
+@_register("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1000 ORDER BY o_orderkey LIMIT 250")
+def stream_max_results(spark, sf_dir):
+    """The first rows of a stream, taken list by list."""
+    rows = query(_t(spark, sf_dir, "orders")).where(col("o_totalprice") > 1000.0).select("o_orderkey", "o_totalprice").sort_by("o_orderkey").run()
+    taken = [r for some in feed.iterate(rows, 64, 250) for r in some]
+    return spark.createDataFrame(taken, "o_orderkey long, o_totalprice double")
+
+
+@_register(
+    """WITH ahead AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice > 1000 AND o_orderkey > 700 ORDER BY o_orderkey LIMIT 26),
+    found AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS n, count(*) OVER () > 25 AS has_more FROM ahead), last AS (SELECT max(o_orderkey)::VARCHAR AS k FROM found WHERE n <= 25)
+    SELECT o_orderkey, o_orderstatus, has_more, CASE WHEN has_more THEN lower(hex(encode(k))) || '|' || sha256(k) END AS next_cursor FROM found, last WHERE n <= 25"""
+)
+def page_of_builder(spark, sf_dir):
+    """Predicate, columns, cursor and page size of the builder together."""
+    orders = _t(spark, sf_dir, "orders")
+    after = spark.range(1).select(keyed.cursor(F.lit(700))).first()[0]
+    return query(orders).where(col("o_totalprice") > 1000.0).select("o_orderkey", "o_orderstatus").page_size(25).cursor(after).page("o_orderkey", "bigint")
+
+
+@_register("SELECT * FROM nation")
+def backup_and_restore(spark, sf_dir):
+    at = shared.shared_dir(spark, "backup")
+    snapshots.backup(_t(spark, sf_dir, "nation"), at)
+    return snapshots.restore(spark, at)
+
+
+@_register("SELECT 'a' AS name, (SELECT count(*) FROM nation) AS rows, true AS whole UNION ALL SELECT 'c', (SELECT count(*) FROM region), true")
+def backup_list(spark, sf_dir):
+    """Three backups of which one is deleted, with their rows, each verified."""
+    at = shared.shared_dir(spark, "backups")
+    for name, t in (("a", "nation"), ("b", "region"), ("c", "region")):
+        snapshots.backup(_t(spark, sf_dir, t), f"{at}/{name}")
+    snapshots.delete_backup(f"{at}/b")
+    found = snapshots.backups(spark, at).collect()
+    return spark.createDataFrame([(r["name"], r["rows"], snapshots.is_whole(spark, f"{at}/{r['name']}")) for r in found], "name string, rows long, whole boolean")
+
+
+@_register("SELECT 'by_brand' AS name, 'p_brand' AS \"column\", false AS is_unique, count(*) AS entries, count(DISTINCT p_brand) AS distinct_values FROM part UNION ALL SELECT 'by_key', 'p_partkey', true, count(*), count(DISTINCT p_partkey) FROM part")
+def named_indexes(spark, sf_dir):
+    named = indexes.Indexes(_t(spark, sf_dir, "part"), "p_partkey")
+    named.create("by_brand", "p_brand")
+    named.create("by_key", "p_partkey", unique=True)
+    named.create("by_size", "p_size")
+    named.drop("by_size")
+    return named.describe()
+
+
+_DURATIONS = [(0, "0ns"), (999, "999ns"), (1_500, "1.50µs"), (2_500_000, "2.50ms"), (3_250_000_000, "3.25s"), (125_000_000_000, "2m 5s"), (5_400_000_000_000, "1h 30m"), (90_061_000_000_000, "25h 1m")]
+
+
+@_register("SELECT nanos::BIGINT AS nanos, shown FROM (VALUES " + ", ".join(map(str, _DURATIONS)) + ") t(nanos, shown)")
+def human_durations(spark, sf_dir):
+    return spark.createDataFrame([(n,) for n, _ in _DURATIONS], "nanos long").withColumn("shown", blobs.human_duration(F.col("nanos")))
+
+
+@_register("SELECT n_nationkey, hex(encode(n_name) || '\\x00'::BLOB || encode('BASE64:' || to_base64(encode('é' || n_name))) || '\\x00'::BLOB) AS record FROM nation")
+def output_nul(spark, sf_dir):
+    record = files.nul_record(F.col("n_name").cast("binary"), F.concat(F.lit("é"), "n_name").cast("binary"))
+    return _t(spark, sf_dir, "nation").select("n_nationkey", F.hex(record.cast("binary")).alias("record"))
+
+
+@_register("""SELECT '- r_regionkey: "' || r_regionkey || '"' || chr(10) || '  r_name: "' || r_name || '"' AS record FROM region""")
+def output_yaml(spark, sf_dir):
+    return _t(spark, sf_dir, "region").select(files.yaml_record("r_regionkey", "r_name").alias("record"))
+
+
+@_register("SELECT '| ' || rpad(r_regionkey::VARCHAR, 4, ' ') || ' | ' || rpad(r_name, 12, ' ') || ' |' AS line FROM region")
+def output_table(spark, sf_dir):
+    return files.table_lines(_t(spark, sf_dir, "region"), {"r_regionkey": 4, "r_name": 12})
+
+
+@_register("SELECT p_partkey::VARCHAR AS key, p_name AS value FROM part")
+def ndjson_round_trip(spark, sf_dir):
+    at = shared.shared_dir(spark, "ndjson")
+    files.write_ndjson(_t(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("key"), F.col("p_name").alias("value")), at)
+    return files.read_snapshot(spark, at)
+
+
+@_register("SELECT n_nationkey, n_nationkey % 3 <> 0 AS opaque FROM nation")
+def encrypted_guard(spark, sf_dir):
+    """Values that begin with 0x01 or are JSON with a cipher_type."""
+    n = F.col("n_nationkey") % 3
+    value = F.when(n == 1, F.concat(F.lit(b"\x01"), F.col("n_name").cast("binary"))).when(n == 2, F.lit(b'{"cipher_type": "u8"}')).otherwise(F.col("n_name").cast("binary"))
+    return _t(spark, sf_dir, "nation").select("n_nationkey", blobs.looks_encrypted(value).alias("opaque"))
+
+
+@_register("SELECT * FROM (VALUES ('l_discount'), ('l_quantity'), ('l_tax')) t(name)")
+def referenced_columns(spark, sf_dir):
+    p = ((col("l_tax") > 0.01) | ~(col("l_quantity") < 3)) & (col("l_discount") == 0.05) & (col("l_tax") < 0.5)
+    return spark.createDataFrame([(c,) for c in columns_of(p)], "name string")
+
+
+@_register("SELECT * FROM (VALUES ('a * b + 3', 3, 2, 1), ('(a < b) and not (a = 3)', 4, 4, 2), ('a', 1, 0, 0)) t(circuit, depth, gates, bootstraps)")
+def circuit_metrics(spark, sf_dir):
+    """Depth, operations and expensive operations of circuits."""
+    a, b, three = Load("a", "u8"), Load("b", "u8"), Constant(3, "u8")
+    trees = {"a * b + 3": Binary("add", Binary("mul", a, b), three), "(a < b) and not (a = 3)": Binary("and", Binary("lt", a, b), Unary("not", Binary("eq", a, three))), "a": a}
+    rows = [(text, *(measure(tree)[k] for k in ("depth", "gates", "bootstraps"))) for text, tree in trees.items()]
+    return spark.createDataFrame(rows, "circuit string, depth int, gates int, bootstraps int")
+
+
+@_register("SELECT count(*) AS rows, true AS same FROM orders")
+def collection_checksum(spark, sf_dir):
+    """One checksum for the rows of a collection however they are dealt and ordered."""
+    orders = _t(spark, sf_dir, "orders")
+    one, other = (aggregates.checksum(df, *orders.columns) for df in (orders, orders.repartition(7, "o_custkey").sortWithinPartitions("o_totalprice")))
+    return one.join(other.toDF("rows_too", "checksum_too")).select("rows", ((F.col("checksum") == F.col("checksum_too")) & (F.col("rows") == F.col("rows_too"))).alias("same"))
+
+
+@_register("SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def log_apply(spark, sf_dir):
+    """The events as a log that is applied batch by batch to a table of every user's last one."""
+    at, events = shared.shared_dir(spark, "apply"), _t(spark, sf_dir, "events")
+    log = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parquet*").select("user_id", "event_id", "event_type")
+    states = [f"{at}/state-none"]
+
+    def upsert(batch, number):
+        last = batch.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), "event_id").alias("x")).select("user_id", "x.*")
+        if number:
+            old = batch.sparkSession.read.parquet(states[-1])
+            last = old.unionByName(last).groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), "event_id").alias("x")).select("user_id", "x.*")
+        # a batch that is run again writes the same state again
+        last.write.mode("overwrite").parquet(f"{at}/state-{number}")
+        states.append(f"{at}/state-{number}")
+
+    feed.apply_changes(log, f"{at}/checkpoint", upsert).awaitTermination()
+    return spark.read.parquet(states[-1])

@@ -39,3 +39,30 @@ def write_ndjson(df: DataFrame, path: str) -> None:
 
 def as_text(value: Column) -> Column:
     return display(value)
+
+
+def nul_record(key: Column, value: Column) -> Column:
+    """The displayed key and value, each ended by a NUL byte."""
+    return F.concat(display(key), F.lit("\x00"), display(value), F.lit("\x00"))
+
+
+def write_nul(df: DataFrame, path: str) -> None:
+    """Records of `key` and `value` one after the other, without line ends."""
+    df.select(nul_record(F.col("key"), F.col("value")).alias("record")).write.option("lineSep", "").text(path)
+
+
+def yaml_record(*columns: str) -> Column:
+    """A list item with the columns as quoted scalars, as JSON strings are YAML ones too."""
+    field = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.struct(F.col(c).cast("string").alias("v"))), r'(?s)^\{"v":(.*)\}$', 1), F.lit("null"))
+    parts = [F.concat(F.lit(f"{'- ' if i == 0 else '  '}{c}: "), F.when(F.col(c).isNull(), F.lit("null")).otherwise(field(c))) for i, c in enumerate(columns)]
+    return F.concat_ws("\n", *parts)
+
+
+def write_yaml(df: DataFrame, path: str) -> None:
+    df.select(yaml_record(*df.columns).alias("record")).write.text(path)
+
+
+def table_lines(df: DataFrame, widths: dict[str, int]) -> DataFrame:
+    """Columns padded to their widths, with bars between them, a line a row."""
+    cell = lambda c, n: F.rpad(F.coalesce(F.col(c).cast("string"), F.lit("")), n, " ")
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c, n) for c, n in widths.items()]), F.lit(" |")).alias("line"))

@@ -2,27 +2,25 @@
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.ordering import numbered
 
-def chunked(df: DataFrame, key: str, size: int = 100) -> DataFrame:
-    """Rows in key order with the number of their chunk and whether another follows. Ranks are
-    found by range partitions and their sizes, so no task sees the whole result."""
-    ranged = df.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id())
-    ranked = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
-    sizes = ranked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.withColumns({"_base": F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"), "_total": F.sum("_n").over(Window.partitionBy())})
-    place = F.col("_i") + F.col("_base") - 1
-    out = ranked.join(F.broadcast(sizes), "_part").withColumn("chunk", F.floor(place / size))
-    return out.withColumn("has_more", (F.col("chunk") + 1) * size < F.col("_total")).drop("_part", "_i", "_n", "_base", "_total")
 
+def chunked(df: DataFrame, key: str, size: int = 100, max_results: int | None = None) -> DataFrame:
+    """Rows in key order with the number of their chunk and whether another follows; of more than
+    `max_results` rows the first ones. No task sees the whole result."""
+    out = numbered(df if max_results is None else df.orderBy(key).limit(max_results), key).withColumn("chunk", F.floor(F.col("_place") / size))
+    return out.withColumn("has_more", (F.col("chunk") + 1) * size < F.col("_total")).drop("_place", "_total")
 
-def iterate(df: DataFrame, size: int = 100) -> Iterator[list]:
-    """Lists of at most `size` rows; the driver holds one partition ahead at most."""
+
+def iterate(df: DataFrame, size: int = 100, max_results: int | None = None) -> Iterator[list]:
+    """Lists of at most `size` rows, 1 at least; the driver holds one partition ahead at most. It ends after
+    `max_results` rows, or when the caller stops taking."""
     chunk = []
-    for row in df.toLocalIterator(prefetchPartitions=True):
+    for row in (df if max_results is None else df.limit(max_results)).toLocalIterator(prefetchPartitions=True):
         chunk.append(row)
         if len(chunk) >= max(1, size):
             yield chunk

@@ -1,12 +1,13 @@
 """Edge cases of single operators, and invariants against plain Python."""
 
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from keystrata.functions import blobs, unsigned
-from keystrata.operators import aggregates, changes, indexes, keyed, shards, snapshots
+from keystrata.operators import aggregates, changes, indexes, keyed, merkle, shards, snapshots
 from keystrata.plans.circuit import Binary, Constant, Load, Unary, compile_to_column, measure, simplify, type_of
 from keystrata.plans.predicate import col, columns_of, compile_predicate, filter_plain, query
 from keystrata.sources import files
@@ -167,19 +168,89 @@ def test_percentile_above_the_last_bound(spark):
     assert aggregates.percentile(df, "v", [2.0, 100.0], 50).first()[0] == 1.5
 
 
-def test_merkle_root(spark):
-    import hashlib
-
-    def root(values):
-        level = [hashlib.sha256(b"\x00" + v.encode()).hexdigest() for v in values]
-        while len(level) > 1:
-            pairs = [(level[i], level[min(i + 1, len(level) - 1)]) for i in range(0, len(level), 2)]
-            level = [hashlib.sha256(b"\x01" + bytes.fromhex(a) + bytes.fromhex(b)).hexdigest() for a, b in pairs]
-        return level[0] if level else hashlib.sha256(b"empty").hexdigest()
-
-    for n in (0, 1, 2, 5, 13):
-        df = spark.createDataFrame([(i, f"v{i}") for i in range(n)], "k int, v string").repartition(4)
-        assert aggregates.merkle_root(df, "k", F.col("v")) == root([f"v{i}" for i in range(n)])
+def merkle_levels(values):
+    levels = [[hashlib.sha256(b"\x00" + v.encode()).hexdigest() for v in values]]
+    while len(levels[-1]) > 1:
+        level = levels[-1]
+        pairs = [(level[i], level[min(i + 1, len(level) - 1)]) for i in range(0, len(level), 2)]
+        levels.append([hashlib.sha256(b"\x01" + bytes.fromhex(a) + bytes.fromhex(b)).hexdigest() for a, b in pairs])
+    return levels
+
+
+def test_merkle_root_and_proofs(spark, monkeypatch):
+    for n, height in ((0, 10), (1, 10), (2, 10), (13, 2), (37, 3)):
+        monkeypatch.setattr(merkle.layers, "__defaults__", (height,))
+        values = [f"v{i:02d}" for i in range(n)]
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "k int, v string").repartition(4)
+        want = merkle_levels(values)[-1][0] if n else hashlib.sha256(b"empty").hexdigest()
+        assert merkle.root(df, "k", F.col("v")) == want
+        for i in {0, n // 2, n - 1} if n else ():
+            p = merkle.proof(df, "k", F.col("v"), i)
+            assert merkle.verify(values[i].encode(), p, want) and not merkle.verify(b"other", p, want)
+        with pytest.raises(IndexError):
+            merkle.proof(df, "k", F.col("v"), n)
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_wide_frames_are_numbered_once(spark, adaptive):
+    """More rows than a range sampler takes, several columns, partitions of any number: no row is lost,
+    chunks are full, and the root is the same."""
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        df = spark.range(200_000).select((F.col("id") * 7919 % 200_003).alias("k"), F.col("id").cast("string").alias("v"), F.sha2(F.col("id").cast("string"), 256).alias("w"))
+        out = feed.chunked(df.repartition(9), "k", 100)
+        ranks = {r.k: i for i, r in enumerate(df.select("k").orderBy("k").collect())}
+        rows = out.select("k", "v", "chunk", "has_more").collect()
+        assert len(rows) == 200_000 and all(r.chunk == ranks[r.k] // 100 for r in rows)
+        assert sum(not r.has_more for r in rows) == 100
+        assert merkle.root(df.repartition(3), "k", F.col("v")) == merkle.root(df.repartition(8), "k", F.col("v"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_route_and_keys_by_plan(spark):
+    """Routing over many shards, with gaps; keys that are few are broadcast and the collection is not shuffled."""
+    rng = random.Random(4)
+    cuts = sorted(rng.sample(range(100_000), 3000))
+    table = [(i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if i % 5]
+    shard_table = spark.createDataFrame(table, "shard_id int, start_key long, end_key long")
+    got = {r.id: r.shard_id for r in shards.route(spark.range(100_000), shard_table, "id").collect()}
+    assert got == {k: i for i, a, b in table for k in range(a, b)}
+    df, keys = spark.range(1000).withColumn("v", F.col("id") * 2), spark.createDataFrame([(3,), (3,), (5000,)], "id long")
+    assert sorted(map(tuple, keyed.multi_get(keys, df, "id").collect()), key=repr) == sorted([(3, 6), (3, 6), (5000, None)], key=repr)
+    assert sorted(map(tuple, keyed.which_exist(keys, df, "id").collect())) == [(3, True), (3, True), (5000, False)]
+
+
+def test_opaque_values_need_compute(spark):
+    from keystrata.plans.predicate import require_plain
+
+    plain, opaque = kv(spark, [("a", "x" * 64), ("b", None)]), kv(spark, [("a", "x" * 65)])
+    assert require_plain(plain, "value").count() == 2
+    with pytest.raises(Exception, match="opaque"):
+        require_plain(opaque, "value").collect()
+
+
+def test_named_indexes_and_shards_refuse(spark):
+    named = indexes.Indexes(kv(spark, [("a", "1"), ("b", "1")]), "key")
+    named.create("by_value", "value")
+    for call in (lambda: named.create("by_value", "value"), lambda: named.drop("other"), lambda: named.create("unique", "value", unique=True)):
+        with pytest.raises(ValueError):
+            call()
+    assert named.names() == ["by_value"] and named.lookup("by_value", "1").count() == 2
+    table = spark.createDataFrame([(1, 0, 9, 1), (2, 9, 20, 2)], "shard_id int, start_key long, end_key long, node int")
+    for call in (lambda: shards.split(table, 1, 9, 3), lambda: shards.join_shards(table, 1, 2, 3)):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_shared_folder_is_forgotten(spark):
+    from keystrata.sources import shared
+
+    at = shared.shared_dir(spark, "x")
+    spark.range(3).write.parquet(at)
+    shared.forget(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(at).count()
 
 
 def test_backup_and_restore(spark, tmp_path):
