@@ -51,7 +51,8 @@ STAGES = [
     ("mixing", mixing),
 ]
 
-#: SQL cannot express the line field, so the pipeline is tested against brute force.
+#: SQL cannot express the line field; the tests hold its scores to enumeration and held-out labels, and the other
+#: stages to brute force.
 ORACLE_SQL = None
 
 
