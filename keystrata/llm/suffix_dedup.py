@@ -1,28 +1,33 @@
 """Removal of repeated passages: every byte in a LENGTH-byte string that also starts earlier goes.
 
-Suffixes are compared to a depth of LENGTH bytes and blockwise: a suffix belongs to the bucket of
-its anchor, the smallest-hash K-gram within its LENGTH bytes (the last one, on ties), so equal
-suffixes share a bucket wherever they stand, and consecutive suffixes mostly share an anchor. A
-run of suffixes with one anchor travels as one row. In a bucket with one run there is nothing to
-compare; runs with equal bytes are repeats of the first; buckets with different runs are sorted,
-one block of buckets at a time: by their first bytes, and long ties by precomputed ranks of the
-suffixes on a difference cover. Runs are laid out with their anchors in the same phase, so tied
-suffixes reach the cover after the same few bytes.
+Suffixes are sorted to a depth of LENGTH bytes and blockwise. A suffix belongs to the bucket of its
+anchor, the smallest-hash K-gram within its LENGTH bytes (the last one, on ties), so equal suffixes
+share a bucket and their distance to the anchor wherever they stand, and consecutive suffixes
+mostly share an anchor; a run of suffixes with one anchor travels as one row. One bucket after the
+other is taken in the order of Spark's external sort. A bucket with one run has nothing to compare,
+and runs with equal bytes are repeats of the first. Suffixes of buckets with different runs are
+compared by the cover: positions at every STEP bytes from the anchor are its samples, so whatever
+the pair, both suffixes reach a sample after the same STEP - 1 bytes at most. Samples have ranks,
+found once for each text from its prefix sums: names of LENGTH - STEP + 1 bytes, equal for equal
+bytes. A suffix is then a rank and STEP - 1 bytes around it, and is sorted by these.
+
+Only which suffixes are equal and which is first matters here, so ranks need not be in the order
+of the bytes, and distances to a common anchor do what residues of a modulus do in a difference
+cover: one residue covers all pairs.
 
 Scale: the text is not shuffled for the search, only one row of 48 bytes for about 33 bytes of
-text, and repeats within a task are settled before. Sorting is streamed in the order of the
-shuffle's external sort, so a bucket of equal runs of any size needs constant memory; a task
-holds SORT_BYTES of different runs. Buckets of more than HOT_RUNS different runs (a passage that
-everyone quotes differently) are not gathered: their suffixes become runs of one, in buckets of
-their own digests, and go through the same stream. Texts of documents with something to
-settle are moved once, into buckets by document, where all later joins find them; the list of
-those documents is broadcast while it is short.
+text, and for open buckets one for STEP bytes; repeats within a task are settled before. Buckets
+are streamed: one of equal runs needs constant memory, and a rank's only what different bytes
+around it need, at most STEP - 1 for a suffix, however many documents quote it. Texts of documents with
+something to settle are moved once, into buckets by document, where all later joins find them; the
+list of those documents is broadcast while it is short. Marks of a document are joined
+intervals, fewer than it has bytes.
 
 Defined results: null texts are empty; texts of fewer than LENGTH bytes are never changed and
-match nothing; doc_ids order documents, null ones come last, in the order of a hash of their
-text, as do texts that share a doc_id; rows that repeat doc_id and text are the same document and
-get the same result; other columns are carried along by `remove_repeats`; very long texts are cut
-into overlapping pieces for the search; an empty table gives an empty table.
+match nothing; doc_ids (any long) order documents, null ones come last, in the order of a hash of
+their text, as do texts that share a doc_id; rows that repeat doc_id and text are the same
+document and get the same result; other columns are carried along by `remove_repeats`; very long
+texts are cut into overlapping pieces for the search; an empty table gives an empty table.
 """
 
 import hashlib
@@ -33,21 +38,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, mix, powers, prefix_hash, span_hash, string_bytes, table, written, written_for_joins
+from .common import blocks, mix, powers, prefix_hash, small, span_hash, table, written, written_for_joins
 
 LENGTH = 100
 K = 36
+STEP = 5
 PIECE_BYTES = 4 << 20
 SCAN_BYTES = 512 << 10
 FLUSH_RUNS = 400_000
-SORT_BYTES = 1_500_000
-BROADCAST_ROWS = 500_000
-HOT_RUNS = 20_000
-#: A perfect difference cover, every distance modulo 31 occurs once.
-PERIOD = 31
-COVER = (1, 5, 11, 24, 25, 27)
+LAST = (1 << 63) - 1
 U = np.uint64
-_NEXT = np.array([min((c - phase) % PERIOD for c in COVER) for phase in range(PERIOD)])
 _LOW = U(0xFFFFFF)
 
 
@@ -197,124 +197,107 @@ def _settle_buckets(batches, length):
         yield pa.record_batch([pa.array(c) for c in columns], ["key", "doc", "tag", "place"])
 
 
-def _cut_suffixes(batches, length):
-    """Every suffix of the runs in hot buckets as a run of one, its digests as bucket and run."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            text = np.frombuffer((batch.column(2)[i].as_py() or "").encode(), np.uint8)
-            where, tag = batch.column(3)[i].values.to_numpy(), batch.column(1)[i].as_py()
-            if not len(where):
-                continue
-            suffixes = (where >> 8) & 0xFF
-            run = np.repeat(np.arange(len(where)), suffixes)
-            start = start_of(where)[run] + np.arange(len(run)) - np.repeat(np.cumsum(suffixes) - suffixes, suffixes)
-            key = span_hash(prefix_hash(text), start, start + length)
-            # the second digest reads the bytes in another order
-            other = span_hash(prefix_hash(text[::-1]), len(text) - start - length, len(text) - start)
-            p = place(start, 1, 0)
-            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(other.view(np.int64)), pa.array(np.full(len(p), batch.column(0)[i].as_py(), np.int64)), pa.array(np.full(len(p), tag, np.int64)), pa.array(p)], ["key", "digest", "doc", "tag", "place"])
+def pieces_of(data: np.ndarray, begin: np.ndarray, suffixes: np.ndarray, shift: np.ndarray, length: int = LENGTH):
+    """Cuts runs (first suffix, number of suffixes, distance of the anchor, all in `data`) where the cover
+    has samples, every STEP bytes from the anchor. The suffixes up to a sample share all bytes but
+    STEP - 1 at the ends: (run, rank of the sample, bytes around it, first suffix, suffixes, number of
+    the first). The rank is a name, equal for equal bytes, taken from the sums over the text."""
+    most = shift // STEP
+    count = most - (shift - suffixes + 1) // STEP + 1
+    run = np.repeat(np.arange(len(begin)), count)
+    q = most[run] - (np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count))
+    far, near = np.minimum(shift[run], STEP * q + STEP - 1), np.maximum((shift - suffixes + 1)[run], STEP * q)
+    anchor = (begin + shift)[run]
+    sample = anchor - STEP * q
+    rank = mix(span_hash(prefix_hash(data), sample, sample + length - STEP + 1) ^ mix(q.astype(U)))
+    padded = np.zeros(len(data) + 12, U)
+    padded[4 : len(data) + 4] = data
+    word = padded[:-3] << U(24) | padded[1:-2] << U(16) | padded[2:-1] << U(8) | padded[3:]
+    first = STEP * q + STEP - 1 - far
+    # bytes that no suffix of the piece has say nothing
+    before = word[sample] & (U(1) << (8 * (STEP - 1 - first)).astype(U)) - U(1)
+    unused = (8 * (STEP - 1 - first - (far - near))).astype(U)
+    behind = word[sample + length - STEP + 1 + 4] >> unused << unused
+    return run, rank, before << U(32) | behind, anchor - far, far - near + 1, first
+
+
+def _cut_pieces(batches, length):
+    """The open runs of documents by the samples of the cover; equal pieces of a task are settled."""
+    held, size = [], 0
 
+    def flush():
+        key, around, doc, tag, where = (np.concatenate(c) for c in zip(*held, strict=True))
+        keep, repeat = settle_here(key, mix(around ^ mix((where & 0xFFFF).astype(U))), doc, tag, where, length)
+        columns = [key[keep].view(np.int64), around[keep].view(np.int64), doc[keep], tag[keep], where[keep]]
+        if len(repeat):
+            d, g, p, end = join_intervals(doc[repeat], tag[repeat], where[repeat], length)
+            columns = [np.concatenate(x) for x in zip(columns, (mix(d.view(U) ^ p.view(U)).view(np.int64), end, d, g, p), strict=True)]
+        return pa.record_batch([pa.array(c) for c in columns], ["key", "around", "doc", "tag", "place"])
 
-def _cut_runs(batches, length):
-    """The bytes of every run that is still open."""
     for batch in batches:
-        for i in range(batch.num_rows):
-            text = (batch.column(2)[i].as_py() or "").encode()
-            marks = batch.column(3)[i].values
-            key, where = marks.field(0).to_numpy(), marks.field(1).to_numpy()
+        docs, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for a, b, data, offsets in blocks(batch.column(2), SCAN_BYTES):
+            marks = batch.column(3).slice(a, b - a)
+            row = np.repeat(np.arange(b - a), np.asarray(marks.value_lengths()))
+            where = marks.flatten().field(1).to_numpy()
             open_runs = (where >> 8) & 0xFF > 0
-            if open_runs.any():
-                key, where = key[open_runs], where[open_runs]
-                start = start_of(where)
-                end = start + ((where >> 8) & 0xFF) - 1 + length
-                parts = [text[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-                yield pa.record_batch([pa.array(key), pa.array(np.full(len(key), batch.column(0)[i].as_py(), np.int64)), pa.array(np.full(len(key), batch.column(1)[i].as_py(), np.int64)), pa.array(where), pa.array(parts, pa.binary())], ["key", "doc", "tag", "place", "bytes"])
-
-
-def _equal_before(keys: list[np.ndarray], order: np.ndarray) -> np.ndarray:
-    """Whether an entry in this order equals the one before it in all keys."""
-    same = np.zeros(len(order), bool)
-    same[1:] = True
-    for k in keys:
-        v = k[order]
-        same[1:] &= v[1:] == v[:-1]
-    return same
-
-
-def repeated_suffixes(data: np.ndarray, offsets: np.ndarray, suffixes: np.ndarray, shift: np.ndarray, length: int = LENGTH):
-    """Sorts the first `suffixes` suffixes of every run to `length` bytes (at least 76). Returns
-    (run, number, first run) for each that equals one of an earlier run."""
-    lens = np.diff(offsets)
-    room = -(-(lens + PERIOD - 1) // PERIOD) * PERIOD
-    base = np.cumsum(room) - room + (-shift) % PERIOD
-    text = np.zeros(int(room.sum()) + length + 16, np.uint8)
-    text[np.repeat(base - offsets[:-1], lens) + np.arange(len(data))] = data
-    word = np.zeros(len(text) - 8, U)
-    for j in range(8):
-        word = (word << U(8)) | text[j : len(text) - 8 + j]
-    run = np.repeat(np.arange(len(lens)), suffixes)
-    number = np.arange(len(run)) - np.repeat(np.cumsum(suffixes) - suffixes, suffixes)
-    at = base[run] + number
-    # one bucket of leading bytes after the other
-    lead = [word[at + 8 * j] for j in range(4)]
-    order = np.lexsort(lead[::-1])
-    same = _equal_before(lead, order)
-    tie = np.cumsum(~same)
-    tied = same.copy()
-    tied[:-1] |= same[1:]
-    chosen, tie = order[tied], tie[tied]
-    run, number, at = run[chosen], number[chosen], at[chosen]
-    if not len(at):
-        return run, number, run
-    # long ties: the rank of the next suffix on the cover, known for 64 bytes, and what lies beyond
-    phase = at % PERIOD
-    cover, which = np.unique(at + _NEXT[phase], return_inverse=True)
-    deep = [word[cover + 8 * j] for j in range(8)]
-    by_rank = np.lexsort(deep[::-1])
-    rank = np.empty(len(cover), np.int64)
-    rank[by_rank] = np.cumsum(~_equal_before(deep, by_rank))
-    keys = [tie, phase, rank[which], *(word[at + j] for j in range(60, length - 8, 8)), word[at + length - 8]]
-    order = np.lexsort([run, *keys[::-1]])
-    same = _equal_before(keys, order)
-    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-    return run[order][same], number[order][same], run[order][head][same]
-
-
-def _sort_buckets(batches, length):
-    """Rows by key, doc, tag and place: whole buckets are gathered to about SORT_BYTES and sorted."""
-    held, size = [], 0
+            row, where = row[open_runs], where[open_runs]
+            begin = offsets[row] + start_of(where)
+            # one very long text is a block of its own: it is taken window by window
+            for base in range(0, max(1, len(data)), PIECE_BYTES):
+                now = np.flatnonzero((begin >= base) & (begin < base + PIECE_BYTES)) if len(data) > PIECE_BYTES else np.arange(len(begin))
+                if not len(now):
+                    continue
+                low = max(0, base - STEP)
+                part = data[low : base + PIECE_BYTES + 2 * length] if len(data) > PIECE_BYTES else data
+                low = low if len(data) > PIECE_BYTES else 0
+                r, w = row[now], where[now]
+                run, rank, around, start, suffixes, first = pieces_of(part, begin[now] - low, (w >> 8) & 0xFF, w & 0xFF, length)
+                held.append((rank, around, docs[a:b][r[run]], tags[a:b][r[run]], place(start + low - offsets[r[run]], suffixes, first)))
+                size += len(run)
+                if size >= FLUSH_RUNS:
+                    yield flush()
+                    held, size = [], 0
+    if size:
+        yield flush()
 
-    def settle(rows):
-        doc, tag, where = (np.concatenate([r[i] for r in rows]) for i in (1, 2, 3))
-        data, offsets = string_bytes(pa.concat_arrays([r[4] for r in rows]))
-        run, number, first = repeated_suffixes(data, offsets, (where >> 8) & 0xFF, where & 0xFF, length)
-        later = (doc[run] != doc[first]) | (tag[run] != tag[first]) | (where[run] >> 16 != where[first] >> 16)
-        run, number = run[later], number[later]
-        p = place(start_of(where[run]) + number, 1, 0)
-        if not len(run):
-            return pa.record_batch([pa.array([], pa.int64())] * 4, ["key", "doc", "tag", "place"])
-        d, g, p, end = join_intervals(doc[run], tag[run], p, length)
-        return pa.record_batch([pa.array(end), pa.array(d), pa.array(g), pa.array(p)], ["key", "doc", "tag", "place"])
 
+def _settle_pieces(batches, length):
+    """Rows by key, doc, tag and place: of equal suffixes all but the first are repeats. Between two
+    batches only the different suffixes at the last rank are kept, no more than STEP - 1 bytes can tell apart."""
+    kept = None  # key and (suffix, doc, tag, start)
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = [*(batch.column(i).to_numpy() for i in range(4)), batch.column(4)]
-        cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last bucket may go on
-        n = batch.column(4).nbytes
-        if size + n > SORT_BYTES and (cut > 0 or (held and held[-1][0][-1] != rows[0][0])):
-            if cut == 0 and held:
-                yield settle(held)
-                held, size = [], 0
-            else:
-                yield settle([*held, [x[:cut] for x in rows]])
-                held, size = [], 0
-                rows = [x[cut:] for x in rows]
-                n = n * (batch.num_rows - cut) // batch.num_rows
-        held.append(rows)
-        size += n
-    if held:
-        yield settle(held)
+        key, around, doc, tag, where = (batch.column(i).to_numpy() for i in range(5))
+        given = (where >> 8) & 0xFF == 0
+        out = [(around[given], doc[given], tag[given], where[given])]
+        key, around, doc, tag, where = (x[~given] for x in (key, around, doc, tag, where))
+        if len(key):
+            suffixes = (where >> 8) & 0xFF
+            row = np.repeat(np.arange(len(key)), suffixes)
+            k = np.arange(len(row)) - np.repeat(np.cumsum(suffixes) - suffixes, suffixes)
+            start = start_of(where)[row] + k
+            k = (k + (where & 0xFF)[row]).astype(U)
+            inner = U(8) * (U(STEP - 1) - k)
+            both = around.view(U)[row]
+            bytes_ = ((both >> U(32)) & ((U(1) << inner) - U(1))) << U(8) * k | (both & U(0xFFFFFFFF)) >> inner
+            suffix = mix(key.view(U)[row] ^ mix(bytes_ << U(8) | k))
+            columns = [suffix, doc[row], tag[row], start]
+            before = 0
+            if kept is not None and kept[0] == key[0]:
+                before = len(kept[1][0])
+                columns = [np.concatenate(x) for x in zip(kept[1], columns, strict=True)]
+            suffix, d, g, start = columns
+            _, first, which = np.unique(suffix, return_index=True, return_inverse=True)
+            head = first[which]
+            repeat = np.flatnonzero((d != d[head]) | (g != g[head]) | (start != start[head]))
+            repeat = repeat[repeat >= before]
+            if len(repeat):
+                dd, gg, p, end = join_intervals(d[repeat], g[repeat], place(start[repeat], 1, 0), length)
+                out.append((end, dd, gg, p))
+            last = first[(first >= before + np.searchsorted(row, np.searchsorted(key, key[-1]))) | (first < before if key[0] == key[-1] else False)]
+            kept = key[-1], [x[last] for x in columns]
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+        yield pa.record_batch([pa.array(c) for c in columns], ["key", "doc", "tag", "place"])
 
 
 def removed_mask(n: int, marks, later) -> np.ndarray:
@@ -345,11 +328,13 @@ def _finish(batches, with_text):
 
 
 def _identity(docs: DataFrame):
-    """A document's place in the order, what tells texts with one doc_id apart, and its text."""
+    """A document's place in the order (doc, then tag) and its text. The tag has 63 bits of the text's
+    digest, which tell texts with one doc_id apart, and by its sign whether there is a doc_id: those
+    without have the greatest doc and come behind that one."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    digest = F.xxhash64(text)
-    late = F.lit(1 << 62) + F.shiftrightunsigned(digest, 2)
-    return F.coalesce(F.col("doc_id").cast("long"), late).alias("doc"), digest.alias("tag"), text.alias("text")
+    doc_id = F.col("doc_id").cast("long")
+    tag = F.shiftright(F.xxhash64(text), 1) + F.when(doc_id.isNull(), F.lit(1 << 62)).otherwise(F.lit(-(1 << 62)))
+    return F.coalesce(doc_id, F.lit(LAST)).alias("doc"), tag.alias("tag"), text.alias("text")
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -361,26 +346,16 @@ def settled(docs: DataFrame, length: int = LENGTH, k: int = K, with_text: bool =
     d = _identified(docs)
     runs = d.mapInArrow(lambda b: _run_rows(b, length, k), "key long, digest long, doc long, tag long, place long")
     runs = runs.repartition("key").sortWithinPartitions("key", "digest", "doc", "tag", "place")
-    marks = written(runs.mapInArrow(lambda b: _settle_buckets(b, length), "key long, doc long, tag long, place long"), "suffix-marks")
+    marks = runs.mapInArrow(lambda b: _settle_buckets(b, length), "key long, doc long, tag long, place long")
+    lists = written(marks.groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "place")).alias("marks")), "suffix-marks")
 
-    ids = written(marks.select("doc", "tag").distinct(), "suffix-docs")
-    some = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    texts = d.join(some, ["doc", "tag"], "left_semi")
-    lists = marks.groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "place")).alias("marks"))
+    texts = d.join(small(lists.select("doc", "tag")), ["doc", "tag"], "left_semi")
     # the merge keeps both sides dealt by document, as they are written: no later join moves a text
     texts = written_for_joins(texts.join(lists.hint("merge"), ["doc", "tag"]), "suffix-texts", "doc", "tag")
 
-    hot = marks.where(F.col("place").bitwiseAND(F.lit(0xFF00)) > 0).groupBy("key").count().where(F.col("count") > HOT_RUNS).select("key")
-    hot = written(hot, "suffix-hot")
-    opened = texts.mapInArrow(lambda b: _cut_runs(b, length), "key long, doc long, tag long, place long, bytes binary")
-    opened = opened.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key", "doc", "tag", "place")
-    later = opened.mapInArrow(lambda b: _sort_buckets(b, length), "key long, doc long, tag long, place long")
-    if not hot.isEmpty():
-        in_hot = marks.where(F.col("place").bitwiseAND(F.lit(0xFF00)) > 0).join(hot, "key").groupBy("doc", "tag").agg(F.collect_list("place").alias("places"))
-        singles = texts.select("doc", "tag", "text").join(in_hot, ["doc", "tag"]).mapInArrow(lambda b: _cut_suffixes(b, length), "key long, digest long, doc long, tag long, place long")
-        singles = singles.repartition("key").sortWithinPartitions("key", "digest", "doc", "tag", "place").mapInArrow(lambda b: _settle_buckets(b, length), "key long, doc long, tag long, place long")
-        # a bucket of two suffixes with one digest would stay open; only intervals count
-        later = later.unionByName(singles.where(F.col("place").bitwiseAND(F.lit(0xFF00)) == 0))
+    pieces = texts.mapInArrow(lambda b: _cut_pieces(b, length), "key long, around long, doc long, tag long, place long")
+    pieces = pieces.repartition("key").sortWithinPartitions("key", "doc", "tag", "place")
+    later = pieces.mapInArrow(lambda b: _settle_pieces(b, length), "key long, doc long, tag long, place long")
     later = later.groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "place")).alias("later"))
     rows = texts.join(later, ["doc", "tag"], "left").select("doc", "tag", "text", "marks", "later").dropDuplicates(["doc", "tag"])
     return rows.mapInArrow(lambda b: _finish(b, with_text), "doc long, tag long, n_removed long, n_spans long, kept_sha256 string, kept string")
@@ -392,7 +367,7 @@ def repeat_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     own = _identified(docs).select("doc", "tag", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own"))
     zero = F.lit(0).cast("long")
     out = own.join(found, ["doc", "tag"], "left")
-    doc_id = F.when(F.col("doc") < (1 << 62), F.col("doc"))
+    doc_id = F.when(~((F.col("doc") == LAST) & (F.col("tag") >= 0)), F.col("doc"))
     return out.select(doc_id.alias("doc_id"), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "own").alias("kept_sha256"))
 
 

@@ -43,7 +43,7 @@ def test_against_brute_force(spark, make_docs, monkeypatch):
 
 def test_small_pieces_blocks_and_batches(spark, make_docs, monkeypatch):
     texts = corpus(4)
-    for name, value in (("PIECE_BYTES", 150), ("FLUSH_RUNS", 5), ("SORT_BYTES", 400)):
+    for name, value in (("PIECE_BYTES", 150), ("FLUSH_RUNS", 5), ("SCAN_BYTES", 700)):
         monkeypatch.setattr(suffix_dedup, name, value)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     try:
@@ -53,13 +53,28 @@ def test_small_pieces_blocks_and_batches(spark, make_docs, monkeypatch):
     assert sorted(map(tuple, got)) == brute(list(enumerate(texts)))
 
 
-def test_hot_buckets(spark, make_docs, monkeypatch):
-    texts = corpus(6)
-    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", 2)
-    got = suffix_dedup.repeat_digest(make_docs(texts)).collect()
+def test_one_passage_quoted_differently_everywhere(spark, make_docs):
+    """Many different runs meet in the buckets of one passage, in batches of a few rows."""
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(50))
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) + passage[rng.randint(0, 30) :] + "".join(rng.choice("xyz") for _ in range(rng.randint(0, 9))) for _ in range(300)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = suffix_dedup.repeat_digest(make_docs(texts)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(map(tuple, got)) == brute(list(enumerate(texts)))
 
 
+def test_large_and_null_ids(spark, make_docs):
+    """Any long is a doc_id; the greatest one still comes before rows without."""
+    long = " ".join(f"word{i}" for i in range(40))
+    texts = [f"{c} {long} {c}" for c in "abcdef"]
+    ids = [(1 << 63) - 1, (1 << 62) + 7, -(1 << 63), -5, None, 1 << 62]
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.repeat_digest(make_docs(texts, ids)).collect()}
+    assert got == {i: 0 if i == -(1 << 63) else len(long) + 2 for i in ids}
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark, make_docs):
     long = " ".join(f"word{i}" for i in range(60))
     docs = make_docs([long, long, long, "y" + long, None], [1, 1, None, None, None])
@@ -77,11 +92,6 @@ def test_removal_keeps_columns_and_counts(spark, make_docs):
     assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {0: ("start " + long, len(long) + 6), 1: (" end", 4), 2: ("short", 5)}
 
 
-def test_difference_cover():
-    c = suffix_dedup.COVER
-    assert {(a - b) % suffix_dedup.PERIOD for a in c for b in c} == set(range(suffix_dedup.PERIOD))
-
-
 def test_many_texts_of_one_id_are_told_apart(spark, make_docs):
     """Texts under one doc_id, more than 15 bits of a digest could name."""
     long = " ".join(f"word{i}" for i in range(40))
