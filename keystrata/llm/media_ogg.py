@@ -7,8 +7,9 @@ shuffle, and a task holds one stream at a time.
 
 Defined results: a null text is an empty one; rows with equal texts give equal values, repeated
 rows stay repeated; doc_id may be null; other columns of the input are ignored; an empty table
-gives an empty table. A page with a wrong checksum is skipped and counted in `bad_pages`, and
-the packet that it interrupts is dropped.
+gives an empty table. A page with a wrong checksum is skipped and counted in `bad_pages`, the
+packets of its stream that it interrupts are dropped and counted in samples as `lost`, and a stream
+that is cut off has the duration of what is there.
 """
 
 import hashlib
@@ -88,10 +89,11 @@ def encode(payload: bytes, rate: int = RATE, streams: int = STREAMS) -> bytes:
 
 
 def read_pages(data: bytes):
-    """Yields (serial, flags, granule, lacing, body) of each whole page whose checksum holds; None for a bad one."""
+    """Yields (serial, sequence number, flags, granule, lacing, body) of each whole page whose checksum
+    holds; None for a bad one."""
     at = data.find(b"OggS")
     while 0 <= at and at + 27 <= len(data):
-        _, version, flags, granule, serial, _, checksum, n = _HEADER.unpack_from(data, at)
+        _, version, flags, granule, serial, sequence, checksum, n = _HEADER.unpack_from(data, at)
         lacing = data[at + 27 : at + 27 + n]
         end = at + 27 + n + sum(lacing)
         page = data[at:end]
@@ -99,22 +101,25 @@ def read_pages(data: bytes):
             yield None
             at = data.find(b"OggS", at + 4)
             continue
-        yield serial, flags, granule, lacing, page[27 + n :]
+        yield serial, sequence, flags, granule, lacing, page[27 + n :]
         at = end if data[end : end + 4] == b"OggS" else data.find(b"OggS", end)
 
 
 def demultiplex(data: bytes) -> tuple[dict, dict]:
-    """({serial: [(granule or -1, packet)]}, counts) of a physical stream."""
-    streams, open_packets, count = {}, {}, {"pages": 0, "bad_pages": 0}
+    """({serial: [(granule or -1, packet)]}, counts) of a physical stream. A packet ends with its stream's
+    next gap in page numbers, whatever pages of other streams are damaged."""
+    streams, open_packets, following, count = {}, {}, {}, {"pages": 0, "bad_pages": 0}
     for page in read_pages(data):
         count["pages"] += 1
         if page is None:
             count["bad_pages"] += 1
-            open_packets.clear()
             continue
-        serial, flags, granule, lacing, body = page
+        serial, sequence, flags, granule, lacing, body = page
         packets = streams.setdefault(serial, [])
         part = open_packets.pop(serial, None)
+        if sequence != following.get(serial, sequence):
+            part = None
+        following[serial] = sequence + 1
         skip = bool(flags & CONTINUED) and part is None
         part, at, done = (part or []) if flags & CONTINUED else [], 0, []
         for size in lacing:
@@ -130,24 +135,32 @@ def demultiplex(data: bytes) -> tuple[dict, dict]:
     return streams, count
 
 
+def packet_times(found: list[tuple[int, bytes]], of: int) -> list[tuple[int, bytes]]:
+    """(time in samples at the packet's end, packet) of a logical stream that has every `of`-th packet. Only
+    the last packet that ends on a page has a granule position; those before it count back from there."""
+    timed, position, step = [], None, 0
+    for granule, packet in reversed(found):
+        position = granule if granule >= 0 or position is None else position - step
+        timed.append((position, packet))
+        step = (of - 1) * PACKET + len(packet)
+    return timed[::-1]
+
+
 def decode(data: bytes) -> tuple[bytes, dict]:
-    """The samples of a stream that `encode` wrote, in the order of their times, and what was seen."""
+    """The samples of a stream that `encode` wrote, in the order of their times, and what was seen. The
+    duration is the last time that a granule position gives; `lost` are samples announced and not found."""
     streams, count = demultiplex(data)
     parts, rate, total, packets = [], RATE, 0, 0
     for found in streams.values():
         packets += len(found)
         if not found or not found[0][1].startswith(MAGIC):
             continue
-        _, _, rate, s, of, total = _IDENTITY.unpack(found[0][1])
-        position = None
-        timed = []
-        for granule, packet in reversed(found[1:]):  # only a page's last packet carries a time
-            position = granule if granule >= 0 or position is None else position - step
-            timed.append((position, packet))
-            step = of * len(packet) if granule < 0 else (of - 1) * PACKET + len(packet)
-        parts += timed
+        _, _, rate, _, of, total = _IDENTITY.unpack(found[0][1])
+        parts += packet_times(found[1:], of)
     parts.sort(key=lambda x: x[0])
-    return b"".join(p for _, p in parts), count | {"streams": len(streams), "packets": packets, "duration_ms": total * 1000 // rate}
+    samples = b"".join(p for _, p in parts)
+    end = parts[-1][0] if parts else 0
+    return samples, count | {"streams": len(streams), "packets": packets, "duration_ms": end * 1000 // rate, "lost": total - len(samples)}
 
 
 def feature(samples: bytes, seen: dict) -> str:
@@ -155,7 +168,7 @@ def feature(samples: bytes, seen: dict) -> str:
     level = np.bincount(x, minlength=256)
     mean = int((level * np.arange(256)).sum()) // max(1, len(x))
     crossings = int(np.count_nonzero(np.diff(x > 96))) if len(x) else 0
-    numbers = [("streams", seen["streams"]), ("pages", seen["pages"]), ("bad_pages", seen["bad_pages"]), ("packets", seen["packets"]), ("duration_ms", seen["duration_ms"]), ("mean", mean), ("peak", int(x.max(initial=0))), ("crossings", crossings)]
+    numbers = [("streams", seen["streams"]), ("pages", seen["pages"]), ("bad_pages", seen["bad_pages"]), ("packets", seen["packets"]), ("lost", seen["lost"]), ("duration_ms", seen["duration_ms"]), ("mean", mean), ("peak", int(x.max(initial=0))), ("crossings", crossings)]
     return ";".join(f"{k}={v}" for k, v in numbers)
 
 
