@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 FOLDS = 5
 MOST_DOCS = 4000
-MOST_BYTES = 20_000
 
 
 def held_out(doc_id="doc_id"):
@@ -14,17 +13,19 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = MOST_DOCS) -> tuple[list[str], np.ndarray]:
-    """(texts, 0/1 labels) of at most `most` labelled documents of at most MOST_BYTES outside the
-    held-out fold, the same ones in every run: those whose id has the smallest hashes. The bounds
-    keep the sample fit for the driver, where models are fitted."""
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = MOST_DOCS, others: tuple[str, ...] = ()) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(texts, 0/1 labels, a column of 0/1 for each of the other labels, where null is 0) of at most `most`
+    labelled documents outside the held-out fold, the same ones in every run: those whose id has the
+    smallest hashes, whole texts of any length; a null text is empty. The bound keeps the sample
+    fit for the driver, where models are fitted."""
     chosen = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-    chosen = chosen.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_y"))
+    chosen = chosen.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(*[F.max(F.coalesce(F.col(c).cast("int"), F.lit(0))).alias(f"_y{i}") for i, c in enumerate((label, *others))])
     # a margin for labels without a document
     chosen = chosen.orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(2 * most)
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
-    rows = rows.where(F.octet_length("_text") <= MOST_BYTES).join(F.broadcast(chosen), "_id").orderBy(F.md5(F.col("_id").cast("string")), "_id", "_text").limit(most).select("_text", "_y").toPandas()
-    return [t or "" for t in rows["_text"]], rows["_y"].to_numpy(np.float64)
+    rows = rows.join(F.broadcast(chosen), "_id").orderBy(F.md5(F.col("_id").cast("string")), "_id", "_text").limit(most).drop("_id").toPandas()
+    y = rows.drop(columns="_text").to_numpy(np.float64)
+    return [t or "" for t in rows["_text"]], y[:, 0], y[:, 1:]
 
 
 def chunks(texts: list[str], size: int = 1 << 20):

@@ -157,7 +157,7 @@ def scores(model: dict | None, data, offsets) -> np.ndarray:
 
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> dict | None:
-    return fit(*training_sample(docs, labels, "quality"))
+    return fit(*training_sample(docs, labels, "quality")[:2])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, good_from: float = GOOD_FROM) -> DataFrame:

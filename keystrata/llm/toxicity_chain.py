@@ -3,8 +3,9 @@
 Categories are predicted one after the other: each model sees the words of the whole text and the
 probabilities of the categories before it. In training those probabilities are out of fold, from
 models that have not seen the document, so later models learn how far to trust them. The last
-category is the documents' label itself; the ones before are the label together with a word of
-the category's list.
+category is the documents' label itself. The ones before are further label columns where `labels`
+has such; where it has the one label only, they are the KINDS that its toxic documents fall into, by
+clusters of the telling words that they have, the largest kind first.
 
 Features are the presence of TERMS words and stems, those that tell toxic from other documents best (by the
 z-score of their log odds) in a sample without copies of at most MOST_DOCS labelled documents outside the
@@ -32,17 +33,12 @@ TERMS = 400
 STEM_BYTES = (6, 8)
 SKETCH = 8
 FOLDS = 4
-MOST_DOCS = 6000
+MOST_DOCS = 5000
 TOXIC_FROM = 0.5
 LEAST_DOCS = 3
 L2 = 0.3
-#: Seed words of the categories before the last.
-CATEGORIES = {
-    "insult": ["idiot", "moron", "stupid", "clown", "loser"],
-    "contempt": ["worthless", "pathetic"],
-    "disgust": ["disgusting", "scum", "trash"],
-}
-LAST = "toxic"
+KINDS = 3
+LABEL = "toxic"
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,39 +114,67 @@ def choose_terms(row, h, y, most: int = TERMS) -> np.ndarray:
     return np.sort(values[best[z[best] > 1.5]])
 
 
-def fit(texts: list[str], y: np.ndarray) -> dict | None:
+def toxic_kinds(x: np.ndarray, y: np.ndarray, k: int = KINDS, rounds: int = 20) -> np.ndarray:
+    """Which of k kinds a toxic document is of, -1 for others: spherical k-means over weighted presence,
+    started from documents that are far from each other; the largest kind is 0."""
+    rows = np.flatnonzero(y)
+    v = x[rows] * np.log((1 + len(rows)) / (1 + x[rows].sum(axis=0)))
+    v = v / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
+    centres = [int(np.argmax(v @ v.mean(axis=0)))]
+    while len(centres) < min(k, len(rows)):
+        centres.append(int(np.argmin((v @ v[centres].T).max(axis=1))))
+    c = v[centres]
+    for _ in range(rounds):
+        of = np.argmax(v @ c.T, axis=1)
+        c = np.stack([v[of == i].sum(axis=0) for i in range(len(c))])
+        c = c / np.maximum(np.linalg.norm(c, axis=1), 1e-12)[:, None]
+    out = np.full(len(y), -1)
+    out[rows] = np.argsort(np.argsort(-np.bincount(of, minlength=len(c)), kind="stable"))[of]
+    return out
+
+
+def out_of_fold(x: np.ndarray, target: np.ndarray, folds: int = FOLDS) -> np.ndarray:
+    """Every document's probability by a model of the folds it is not in."""
+    fold, out = np.arange(len(target)) % folds, np.zeros(len(target))  # the sample comes in the order of a hash
+    for f in range(folds):
+        rest = fold != f
+        out[~rest] = sigmoid(x[~rest] @ logistic(x[rest], target[rest], L2))
+    return out
+
+
+def fit_chain(base: np.ndarray, targets: list[np.ndarray]) -> tuple[list[tuple], np.ndarray]:
+    """A model for every category, and the inputs of the last one: words, then the out-of-fold
+    probabilities of the categories before it, then 1."""
+    one = np.ones((len(base), 1))
+    x, models = np.concatenate([base, one], axis=1), []
+    for k, target in enumerate(targets):
+        constant = target.min() == target.max()
+        models.append((None if constant else logistic(x, target, L2), float(target[0])))
+        if k < len(targets) - 1:
+            p = target if constant else out_of_fold(x, target)
+            x = np.concatenate([x[:, :-1], p[:, None], one], axis=1)
+    return models, x
+
+
+def fit(texts: list[str], y: np.ndarray, others: np.ndarray) -> dict | None:
     if len(y) == 0 or y.min() == y.max():
         return None
     row, h = _hash_of(texts)
     keep = not_copies(row, h, len(y))
-    row, h, y = np.cumsum(keep)[row[keep[row]]] - 1, h[keep[row]], y[keep]
+    row, h, y, others = np.cumsum(keep)[row[keep[row]]] - 1, h[keep[row]], y[keep], others[keep]
     if y.min() == y.max():
         return None
     terms = choose_terms(row, h, y)
     base = presence(row, h, terms, len(y))
-    _, seeds = zip(*(_hash_of([" ".join(v)]) for v in CATEGORIES.values()), strict=True)
-    targets = [y * presence(row, h, np.sort(s), len(y)).max(axis=1) for s in seeds] + [y]
-    fold = np.arange(len(y)) % FOLDS  # the sample comes in the order of a hash
-    x = np.concatenate([base, np.ones((len(y), 1))], axis=1)
-    models = []
-    for target in targets:
-        if target.min() == target.max():
-            target_weights, out = None, target.copy()
-        else:
-            out = np.zeros(len(y))
-            for f in range(FOLDS):
-                rest = fold != f
-                out[~rest] = sigmoid(x[~rest] @ logistic(x[rest], target[rest], L2))
-            target_weights = logistic(x, target, L2)
-        models.append((target_weights, float(target[0])))
-        x = np.concatenate([x[:, :-1], out[:, None], np.ones((len(y), 1))], axis=1)
-    return {"terms": terms, "models": models}
-
-
-def chain(model: dict | None, row, h, n) -> np.ndarray:
+    kinds = toxic_kinds(base, y) if not others.shape[1] else None
+    before = [(kinds == i).astype(float) for i in range(KINDS)] if kinds is not None else list(others.T)
+    return {"terms": terms, "models": fit_chain(base, [*before, y])[0]}
+
+
+def chain(model: dict | None, row, h, n, categories: int = KINDS + 1) -> np.ndarray:
     """n by categories matrix of probabilities."""
     if model is None:
-        return np.zeros((n, len(CATEGORIES) + 1))
+        return np.zeros((n, categories))
     x = np.concatenate([presence(row, h, model["terms"], n), np.ones((n, 1))], axis=1)
     out = []
     for weights, constant in model["models"]:
@@ -160,21 +184,23 @@ def chain(model: dict | None, row, h, n) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, toxic_from: float = TOXIC_FROM) -> DataFrame:
-    """Probabilities of all categories, the last one's as score, and what follows from it."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(*training_sample(docs, labels, "toxic", MOST_DOCS)))
+def toxicity_scores(docs: DataFrame, labels: DataFrame, toxic_from: float = TOXIC_FROM, categories: tuple[str, ...] = ()) -> DataFrame:
+    """Probabilities of all categories, the last one's (LABEL) as score, and what follows from it. `categories` are
+    columns of `labels`, in the order of the chain; without any, kinds are found."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(*training_sample(docs, labels, LABEL, MOST_DOCS, categories)))
+    before = categories or tuple(f"kind_{i + 1}" for i in range(KINDS))
 
     def score(batches):
         for batch in batches:
             for a, b, data, offsets in blocks(batch.column(1)):
-                p = chain(model.value, *word_hashes(data, offsets), b - a)
+                p = chain(model.value, *word_hashes(data, offsets), b - a, len(before) + 1)
                 columns = [pa.array(p[:, i]) for i in range(p.shape[1])]
                 yield pa.record_batch([batch.column(0).slice(a, b - a), *columns, pa.array((p[:, -1] >= toxic_from).astype(np.int32))], names)
 
-    names = ["doc_id", *(f"p_{c}" for c in CATEGORIES), "score", "predicted"]
-    schema = "doc_id long, " + ", ".join(f"{c} double" for c in names[1:-1]) + ", predicted int"
+    names = ["doc_id", *(f"p_{c}" for c in before), "score", "predicted"]
+    schema = "doc_id long, " + ", ".join(f"`{c}` double" for c in names[1:-1]) + ", predicted int"
     out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(score, schema)
-    return out.select("doc_id", held_out().alias("held_out"), *names[1:])
+    return out.select("doc_id", held_out().alias("held_out"), *[F.col(f"`{c}`") for c in names[1:]])
 
 
 def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
