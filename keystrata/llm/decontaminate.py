@@ -7,8 +7,9 @@ window) is hit.
 
 Scale: documents are read once where they lie, without a shuffle. The benchmark is cut into
 shards of at most SHARD_WORDS item words, as many as it takes; each shard's automaton is built in
-the tasks from a broadcast of that bounded size, and documents meet the shards one after the
-other, HELD_BYTES of text at a time. A word pair that no item holds can't lie in a window, so only runs of known pairs that
+the workers from a broadcast of that bounded size, and documents meet the shards one after the
+other, HELD_BYTES of text at a time. A worker keeps KEPT automata, so benchmarks of as many shards are
+built once a worker, larger ones once for HELD_BYTES. A word pair that no item holds can't lie in a window, so only runs of known pairs that
 are long enough for a window walk through the automaton.
 
 Defined results: null and empty texts have no words, no hits and the digest of the empty string;
@@ -31,7 +32,8 @@ from .common import ALNUM, LOWER, blocks, mix, prefix_hash, span_hash, table, wo
 
 WINDOW = 10
 SHARD_WORDS = 200_000
-HELD_BYTES = 16 << 20
+HELD_BYTES = 32 << 20
+KEPT = 3
 MAX_SPAN = 200
 MAX_COVERAGE = 0.5
 
@@ -181,16 +183,20 @@ _built: dict = {}
 
 
 def _automaton(shard, window: int) -> Automaton:
-    """One at a time a worker; workers outlive queries, so it is known by the shard's own name."""
+    """A worker keeps the KEPT automata that it used last; workers outlive queries, so they are known
+    by the shards' own names."""
     name, texts = shard.value
-    if _built.get("of") != (name, window):
+    automaton = _built.pop((name, window), None)
+    if automaton is None:
         items = []
         for item, text in texts:
             raw = np.frombuffer(text.encode(), np.uint8)
             items.append((item, text_words(raw, np.array([0, len(raw)]))[3]))
-        _built.clear()
-        _built.update({"of": (name, window), "automaton": Automaton(items, window)})
-    return _built["automaton"]
+        while len(_built) >= KEPT:
+            del _built[next(iter(_built))]
+        automaton = Automaton(items, window)
+    _built[name, window] = automaton
+    return automaton
 
 
 def _scan(column: pa.Array, parts: list, window: int):
