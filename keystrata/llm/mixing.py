@@ -63,6 +63,19 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return t.select("source", "source_size", target.alias("target"))
 
 
+def _take_tied(rows: DataFrame) -> DataFrame:
+    """Of rows that are equal in all that orders them, as many of each source as fit. They are numbered by
+    the partition that holds them and written once, so that no task has to see all of a source's."""
+    row = F.monotonically_increasing_id()
+    rows = written(rows.withColumns({"_tied_row": row, "_tied_part": F.shiftright(row, 33)}), "mix-tied")
+    sizes = rows.groupBy(F.col("source").alias("_tied_of"), F.col("_tied_part").alias("_tied_at")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("_tied_of").orderBy("_tied_at")) - F.col("n")  # a row a partition
+    sizes = sizes.select("_tied_of", "_tied_at", before.alias("_tied_before"))
+    rows = rows.join(sizes, F.col("source").eqNullSafe(F.col("_tied_of")) & (F.col("_tied_part") == F.col("_tied_at")))
+    place = F.col("_tied_before") + F.row_number().over(Window.partitionBy("source", "_tied_part").orderBy("_tied_row"))
+    return rows.withColumn("more", (place <= F.col("edge.fit")).cast("long")).drop("_tied_row", "_tied_part", "_tied_of", "_tied_at", "_tied_before")
+
+
 def mix_sources(docs: DataFrame, keep: tuple[str, ...] = (), weights=WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: str = SEED, importance: Column | None = None) -> DataFrame:
     """Every document with its size, its source's size and target, and the words taken of it.
 
@@ -115,8 +128,7 @@ def mix_sources(docs: DataFrame, keep: tuple[str, ...] = (), weights=WEIGHTS, sh
     out = rows.withColumn("more", taken.cast("long"))
     if not ends.where("edge.fit < edge.tied").isEmpty():
         some = F.coalesce(at & F.expr("edge.fit < edge.tied"), F.lit(False))
-        of_tied = F.row_number().over(of_source.orderBy("rank"))
-        out = out.where(~some).unionByName(rows.where(some).withColumn("more", (of_tied <= F.col("edge.fit")).cast("long")))
+        out = out.where(~some).unionByName(_take_tied(rows.where(some)))
     copies = F.least(F.col("whole") + F.when(F.col("size") > 0, F.col("more")).otherwise(0), F.lit(most))
     columns = dict.fromkeys(["doc_id", *keep])
     return out.select(*columns, "size", "source_size", "target", (copies * F.col("size")).alias("taken"))
