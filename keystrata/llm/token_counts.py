@@ -48,9 +48,14 @@ def encoder(vocabulary: bytes):
 
 
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
-    """Writes flat files and returns the order of documents in them: doc_id, file, ordinal."""
+    """Writes flat files and returns the order of documents in them: doc_id, file, ordinal. Ids have 16 bits, and
+    `end` must be none of the vocabulary's."""
     with open(vocabulary, "rb") as f:
-        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
+        content = f.read()
+    ids = {int(line.split()[1]) for line in content.splitlines() if line.strip()}
+    if end in ids or not 0 <= end <= 0xFFFF or max(ids, default=0) > 0xFFFF:
+        raise ValueError(f"{vocabulary} has ids beyond 16 bits, or the separator {end} is one of its ids")
+    ranks = docs.sparkSession.sparkContext.broadcast(content)
 
     def write(batches):
         out, size, ordinal = None, 0, 0
