@@ -6,7 +6,6 @@ long text is a block of its own.
 """
 
 import os
-import posixpath
 import uuid
 
 import numpy as np
@@ -14,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import filesystem, shared_dir, written  # noqa: F401
+
 BLOCK_BYTES = 1 << 20
 BLOCK_ROWS = 50_000
 BROADCAST_ROWS = 500_000
@@ -128,24 +129,6 @@ def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray):
     return begin, end, np.searchsorted(offsets[1:], begin, side="right")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the one that spark.checkpoint.dir names, which all executors see.
-
-    Where the setting is absent (tests, one machine) the folder lies in the session's warehouse.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return posixpath.join(root, f"{name}-{uuid.uuid4().hex}")
-
-
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends here, and a lost executor
-    costs only the tasks that it ran."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def written_for_joins(df: DataFrame, name: str, *columns: str, codec: str = "zstd") -> DataFrame:
     """Like `written`, dealt into buckets by `columns`: joins on them then move only the other side.
 
@@ -164,17 +147,6 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def filesystem(uri: str):
-    """(pyarrow file system, path) for a URI of any scheme that pyarrow knows, or a plain path."""
-    from pyarrow import fs
-
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
-
-
 def task_name() -> str:
     """A name that no other attempt of any task has."""
     return f"{uuid.uuid4().hex}-{os.getpid()}"

@@ -417,10 +417,10 @@ def component_members(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -
 def jaccard_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs."""
     members = component_members(docs, n, threshold)
-    # a set's smallest doc_id, then the component's
-    names = members.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = members.where("n > 0").join(names, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    # the names of components of several rows; a row on its own has its own
+    names = members.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    out = members.join(small(written(names, "ngram-names")), "label", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("rows") > 1, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def text_digest(text: Column) -> Column:

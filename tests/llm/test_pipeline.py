@@ -1,7 +1,8 @@
 import random
 
 import corpus_pipeline
-from keystrata.llm import mixing
+from keystrata.llm import mixing, quality_crf
+from keystrata.llm.common import table
 
 from ..conftest import SMALL
 from .conftest import random_words
@@ -11,7 +12,7 @@ from .test_text_scans import windows_brute
 
 
 def test_stages_on_a_small_corpus(spark):
-    """Every stage against brute force on what its predecessor kept."""
+    """Every stage on what its predecessor kept, against brute force, or the operator's own scores for quality."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     columns = docs.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -19,7 +20,10 @@ def test_stages_on_a_small_corpus(spark):
         assert out.columns == columns
         before = {r.doc_id: r.text for r in docs.collect()}
         after = {r.doc_id: r.text for r in out.collect()}
-        if name == "ngram_jaccard":
+        if name == "quality":  # whose scores and held-out accuracy are tested on their own
+            scores = {r.doc_id: r.score for r in quality_crf.quality_scores(docs, table(spark, SMALL, "labels")).collect()}
+            assert after == {k: t for k, t in before.items() if scores[k] >= quality_crf.GOOD_FROM} and 0 < len(after) < len(before)
+        elif name == "ngram_jaccard":
             assert set(after) == {c for _, _, c in components(list(before.items()))}
             assert all(before[k] == t for k, t in after.items())
         elif name == "suffix_dedup":

@@ -1,12 +1,15 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from keystrata.llm import decontaminate, license_scan, media_ogg, mixing, quality_crf, token_counts, toxicity_chain, warc
 from keystrata.llm.common import string_bytes, table
+from keystrata.llm.labelled import logistic, training_sample
 
 from ..conftest import SMALL
 from .conftest import random_words
@@ -70,6 +73,39 @@ def test_ogg_round_trip_and_damage():
     assert seen["bad_pages"] == 1 and samples != payload
 
 
+def test_ogg_times_come_from_granules():
+    """The duration of a stream that is cut off is that of what is there, whatever its header says."""
+    payload = random.Random(3).randbytes(50_000)
+    data = media_ogg.encode(payload)
+    _, whole = media_ogg.decode(data)
+    assert whole["duration_ms"] == 50_000 * 1000 // media_ogg.RATE and whole["lost"] == 0
+    streams, _ = media_ogg.demultiplex(data)
+    for found in streams.values():
+        s = media_ogg._IDENTITY.unpack(found[0][1])[3]
+        ends = [min((k + 1) * media_ogg.PACKET, len(payload)) for k in range(s, -(-len(payload) // media_ogg.PACKET), media_ogg.STREAMS)]
+        assert [t for t, _ in media_ogg.packet_times(found[1:], media_ogg.STREAMS)] == ends
+    starts = [i for i in range(len(data)) if data[i : i + 4] == b"OggS"]
+    samples, seen = media_ogg.decode(data[: starts[len(starts) // 2]])
+    assert payload.startswith(samples[: media_ogg.PACKET]) and seen["lost"] == 50_000 - len(samples) > 0
+    assert seen["duration_ms"] < whole["duration_ms"]
+
+
+def test_ogg_packets_over_damaged_pages():
+    """Long packets of two streams in turns over several pages: a bad page costs its stream's packet, not the other's."""
+    rng = random.Random(4)
+    packets = {s: [b"head", *(rng.randbytes(100_000) for _ in range(2))] for s in (1, 2)}
+    pages = {s: [p for _, p in media_ogg.logical_pages(x, [0, 1, 2], s)] for s, x in packets.items()}
+    mixed = [(s, p) for some in zip(pages[1], pages[2], strict=True) for s, p in zip((1, 2), some, strict=True)]
+    streams, seen = media_ogg.demultiplex(b"".join(p for _, p in mixed))
+    assert {s: [p for _, p in found] for s, found in streams.items()} == packets and seen["bad_pages"] == 0
+    k = next(i for i, (s, _) in enumerate(mixed) if s == 1 and i > 1)  # holds the first part of one packet only
+    broken = bytearray(mixed[k][1])
+    broken[200] ^= 1
+    streams, seen = media_ogg.demultiplex(b"".join(bytes(broken) if i == k else p for i, (_, p) in enumerate(mixed)))
+    assert seen["bad_pages"] == 1 and [p for _, p in streams[2]] == packets[2]
+    assert [p for _, p in streams[1]] == [packets[1][0], packets[1][2]]
+
+
 def test_ogg_checksum():
     crc = 0
     for byte in b"page":
@@ -162,6 +198,25 @@ def test_quality_on_held_out_documents(spark):
     assert n > 50 and accuracy > 0.93
 
 
+def test_token_files_refuse_ids_that_do_not_fit(spark, make_docs, tmp_path):
+    small = tmp_path / "small.tiktoken"
+    small.write_bytes(b"YQ== 0\nYg== 50256\n")
+    with pytest.raises(ValueError):
+        token_counts.write_token_files(make_docs(["a"]), str(tmp_path / "t"), str(small))
+    small.write_bytes(b"YQ== 0\nYg== 65536\n")
+    with pytest.raises(ValueError):
+        token_counts.write_token_files(make_docs(["a"]), str(tmp_path / "t"), str(small))
+
+
+def test_decontamination_with_null_and_repeated_items(spark, make_docs):
+    """Null item_ids hit and are not listed; repeated ones count once; long texts are searched whole."""
+    passage = " ".join(f"k{i}" for i in range(12))
+    bench = spark.createDataFrame([(None, passage), (4, passage), (4, passage), (5, "lone"), (None, None)], "item_id long, text string")
+    texts = ["filler words here " * 30_000 + passage, passage, "a lone word", None]
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.contamination(make_docs(texts), bench).collect()}
+    assert got == {0: (12, 1), 1: (12, 1), 2: (1, 1), 3: (0, 0)}
+
+
 def test_quality_edges(spark, make_docs):
     texts = [None, "", "\n\n", "Fine text here.\nAnd more.", "x" * 100_000, "x" * 100_000]
     docs = make_docs(texts, extra=True)
@@ -198,6 +253,54 @@ def test_toxicity_on_held_out_documents(spark):
     assert false <= 5
 
 
+def test_chain_inputs_are_out_of_fold():
+    """What a later category learns from against one model for each document, which it is not in the fold of."""
+    rng = np.random.default_rng(2)
+    base = (rng.random((60, 5)) < 0.3).astype(float)
+    targets = [(base[:, 0] + base[:, 1] + rng.random(60) > 1).astype(float), (base[:, 1] + rng.random(60) > 0.8).astype(float), (base[:, 2] + rng.random(60) > 0.9).astype(float)]
+    models, x = toxicity_chain.fit_chain(base, targets)
+    seen = np.concatenate([base, np.ones((60, 1))], axis=1)
+    for k in (0, 1):
+        p = np.zeros(60)
+        for i in range(60):
+            others = [j for j in range(60) if j % toxicity_chain.FOLDS != i % toxicity_chain.FOLDS]
+            p[i] = 1 / (1 + np.exp(-seen[i] @ logistic(seen[others], targets[k][others], toxicity_chain.L2)))
+        seen = np.concatenate([seen[:, :-1], p[:, None], np.ones((60, 1))], axis=1)
+    assert np.allclose(seen, x, atol=1e-9)
+    assert all(np.allclose(w, logistic(seen[:, [*range(5), *range(5, 5 + k), 7]], t, toxicity_chain.L2), atol=1e-6) for k, ((w, _), t) in enumerate(zip(models, targets, strict=True)))
+    # in prediction, a category's own probability takes the place
+    terms = np.arange(1, 6).astype(np.uint64)
+    row, term = np.nonzero(base)
+    got = toxicity_chain.chain({"terms": terms, "models": models}, row, terms[term], 60)
+    z = np.concatenate([base, np.ones((60, 1))], axis=1)
+    for k, (w, _) in enumerate(models):
+        p = 1 / (1 + np.exp(-z @ w))
+        assert np.allclose(got[:, k], p)
+        z = np.concatenate([z[:, :-1], p[:, None], np.ones((60, 1))], axis=1)
+
+
+def test_kinds_of_toxicity():
+    """Toxic documents with different words are of different kinds."""
+    x = np.zeros((40, 6))
+    x[:12, [0, 1]] = x[12:20, [2, 3]] = x[20:24, [4, 5]] = 1
+    y = (np.arange(40) < 24).astype(float)
+    assert toxicity_chain.toxic_kinds(x, y).tolist() == [0] * 12 + [1] * 8 + [2] * 4 + [-1] * 16
+
+
+def test_given_categories_and_long_labelled_texts(spark, make_docs):
+    """Label columns take the place of kinds; a labelled text of any length, null or repeated takes part."""
+    texts = ["you vile toad " * 5000 if i % 3 == 0 else None if i % 7 == 0 else f"a fine day number {i} for all of us" for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0), int(i % 6 == 0) if i % 5 else None) for i in range(60)], "doc_id long, quality int, toxic int, rude int")
+    sample = training_sample(make_docs(texts), labels, "toxic", others=("rude",))
+    fold = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    assert sorted(sample[0]) == sorted(texts[i] or "" for i in fold) and sample[2].sum() == sum(i % 6 == 0 and i % 5 > 0 for i in fold)
+    out = toxicity_chain.toxicity_scores(make_docs(texts), labels, categories=("rude",))
+    assert out.columns == ["doc_id", "held_out", "p_rude", "score", "predicted"]
+    rows = out.collect()
+    assert all(r.held_out == (r.doc_id not in fold) for r in rows)
+    assert all(r.predicted == int(r.doc_id % 3 == 0) for r in rows)
+
+
 def test_toxicity_edges(spark, make_docs):
     docs = make_docs([None, "", "idiot", "a b"], [None, 1, 2, 2], extra=True)
     labels = spark.createDataFrame([(2, 1, 1), (None, None, None), (2, None, None)], "doc_id long, quality int, toxic int")
