@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .keyed import multi_get
+
 PUT, DELETE = "put", "delete"
 
 
@@ -41,9 +43,7 @@ def delete(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 def read_modify_write(df: DataFrame, keys: DataFrame, key: str, value: str, change) -> DataFrame:
     """change(old value) for the given keys; a missing key starts from null."""
-    keys = keys.select(key).distinct()
-    # the semi join leaves the collection where it is; the left join then meets its few rows
-    old = keys.join(df.join(keys, key, "left_semi"), key, "left")
+    old = multi_get(keys.select(key).distinct(), df, key)
     return upsert(df, old.withColumn(value, change(F.col(value))), key)
 
 

@@ -14,21 +14,29 @@ def contains(df: DataFrame, key: str, value) -> bool:
     return not df.where(F.col(key) == F.lit(value)).limit(1).isEmpty()
 
 
-def _asked_for(keys: DataFrame, df: DataFrame, key: str) -> DataFrame:
-    """The collection's rows with one of the keys. In a semi join Spark builds the hash table from the keys
-    and broadcasts it while they are few, so the collection stays where it is and is scanned once."""
-    return df.join(keys.select(key).distinct(), key, "left_semi")
+BROADCAST_KEYS = 500_000
+
+
+def few(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """keys, to be broadcast if a look at them finds `most` rows at most."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
+def matching(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The collection's rows with one of the keys. In a semi join Spark builds the hash table from the keys:
+    while they are few the collection stays where it is and is scanned once."""
+    return df.join(few(keys.select(key).distinct()), key, "left_semi")
 
 
 def which_exist(keys: DataFrame, df: DataFrame, key: str) -> DataFrame:
     """The keys with whether the collection has them."""
-    there = _asked_for(keys, df.select(key), key).distinct().withColumn("found", F.lit(True))
+    there = matching(df.select(key), keys, key).distinct().withColumn("found", F.lit(True))
     return keys.join(there, key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def multi_get(keys: DataFrame, df: DataFrame, key: str) -> DataFrame:
     """One row a requested key, nulls where it is missing."""
-    return keys.join(_asked_for(keys, df, key), key, "left")
+    return keys.join(matching(df, keys, key), key, "left")
 
 
 def range_scan(df: DataFrame, key: str, start=None, end=None) -> DataFrame:

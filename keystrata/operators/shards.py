@@ -6,6 +6,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .keyed import few
+
 
 SPLITTERS = 1024
 
@@ -18,21 +20,26 @@ def steps(x: Column, bounds: list, results: list) -> Column:
     return F.when(x < F.lit(bounds[mid]), steps(x, bounds[:mid], results[: mid + 1])).otherwise(steps(x, bounds[mid + 1 :], results[mid + 1 :]))
 
 
+def _blocks(starts: DataFrame, n: int):
+    """A function from keys to the number of their block, found by binary search; blocks are cut at about
+    SPLITTERS of the n rows of `starts`."""
+    starts = starts if n <= SPLITTERS else starts.sample(SPLITTERS / n, seed=1)
+    bounds = sorted(r[0] for r in starts.distinct().limit(4 * SPLITTERS).collect() if r[0] is not None)
+    return lambda x: steps(x, bounds, [F.lit(i) for i in range(len(bounds) + 1)])
+
+
 def route(df: DataFrame, shards: DataFrame, key: str) -> DataFrame:
     """Every row with the shard whose [start_key, end_key) holds its key.
 
     Starts of shards, all of them or a sample of about SPLITTERS, cut the keys into blocks. A key's
     block is found by binary search in an expression, a shard is in each block that it reaches into,
-    and the two meet by equality; so no row is held against all shards."""
-    n = shards.count()  # metadata, a row a shard
-    starts = shards.select("start_key").distinct()
-    starts = starts if n <= SPLITTERS else starts.sample(SPLITTERS / n, seed=1)
-    bounds = sorted(r[0] for r in starts.limit(4 * SPLITTERS).collect() if r[0] is not None)
-    block = lambda x: steps(x, bounds, [F.lit(i) for i in range(len(bounds) + 1)])
+    and the two meet by equality; so no row is held against all shards. Shards are metadata, a row each, and are
+    broadcast while they are few."""
+    block = _blocks(shards.select("start_key"), shards.count())
     first, last = block(F.col("start_key")), block(F.col("end_key"))
     reached = shards.where("start_key < end_key").withColumn("_block", F.explode(F.sequence(first, last)))
     inside = (F.col(key) >= F.col("start_key")) & (F.col(key) < F.col("end_key"))
-    return df.withColumn("_block", block(F.col(key))).join(reached, "_block").where(inside).drop("_block")
+    return df.withColumn("_block", block(F.col(key))).join(few(reached), "_block").where(inside).drop("_block")
 
 
 def overlapping(shards: DataFrame, start, end) -> DataFrame:
@@ -42,11 +49,16 @@ def overlapping(shards: DataFrame, start, end) -> DataFrame:
 def overlap_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of files of two levels whose [low, high] ranges meet: one's low lies in the other's range.
     Ranges of integers are cut into aligned blocks of powers of two, 126 at most, and lows meet them
-    in the one block that holds them, so the join is on equality. Other keys are compared pairwise."""
+    in the one block that holds them, so the join is on equality. Ranges of other keys are cut where
+    ranges begin, a sample of about SPLITTERS, and meet in the block that holds the later low."""
     a, b = left.select(*[F.col(c).alias(f"left_{c}") for c in left.columns]), right.select(*[F.col(c).alias(f"right_{c}") for c in right.columns])
     meet = (F.col("left_low") <= F.col("right_high")) & (F.col("right_low") <= F.col("left_high"))
     if not all(f.dataType.typeName() in ("byte", "short", "integer", "long") for df in (left, right) for f in df.select("low", "high").schema):
-        return a.join(b, meet)
+        lows = left.select("low").union(right.select("low"))
+        block = _blocks(lows, lows.count())
+        reach = lambda df, side: df.withColumn("_block", F.explode(F.sequence(block(F.col(f"{side}_low")), block(F.col(f"{side}_high")))))
+        both = reach(a.where("left_low <= left_high"), "left").join(reach(b.where("right_low <= right_high"), "right"), "_block")
+        return both.where(meet & (F.col("_block") == block(F.greatest("left_low", "right_low")))).drop("_block")
 
     def points(df, side):
         low = F.col(f"{side}_low").cast("long")

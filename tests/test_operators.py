@@ -221,6 +221,19 @@ def test_route_and_keys_by_plan(spark):
     assert sorted(map(tuple, keyed.which_exist(keys, df, "id").collect())) == [(3, True), (3, True), (5000, False)]
 
 
+def test_keys_are_broadcast_and_ranges_of_text_meet(spark):
+    keys = spark.createDataFrame([(3,), (5,)], "o_orderkey long")
+    orders = spark.read.parquet(f"{SMALL}/orders.parquet")
+    plan = keyed.matching(orders, keys, "o_orderkey")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    rng = random.Random(5)
+    ranges = [sorted(f"{rng.randrange(500):03d}" for _ in range(2)) for _ in range(60)]
+    left, right = (spark.createDataFrame([(i, *r) for i, r in enumerate(some)], "f int, low string, high string") for some in (ranges[:25], ranges[25:]))
+    got = sorted((r.left_f, r.right_f) for r in shards.overlap_pairs(left, right).collect())
+    assert got == sorted((i, j) for i, a in enumerate(ranges[:25]) for j, b in enumerate(ranges[25:]) if a[0] <= b[1] and b[0] <= a[1])
+    assert "NestedLoop" not in shards.overlap_pairs(left, right)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_opaque_values_need_compute(spark):
     from keystrata.plans.predicate import require_plain
 
