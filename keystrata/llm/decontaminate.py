@@ -6,9 +6,9 @@ word inside an occurrence of a window (WINDOW consecutive item words; a shorter
 window) is hit.
 
 Scale: documents are read once where they lie, without a shuffle. The benchmark is cut into
-shards of at most SHARD_WORDS item words, as many as it takes; each shard's automaton is built in
-the workers from a broadcast of that bounded size, and documents meet the shards one after the
-other, HELD_BYTES of text at a time. A worker keeps KEPT automata, so benchmarks of as many shards are
+shards of about SHARD_WORDS item words, as many as it takes, in the shared folder; each shard's
+automaton is built in the workers that read it there, and documents meet the shards one after the
+other, HELD_BYTES of text at a time. Nothing of the benchmark goes through the driver. A worker keeps KEPT automata, so benchmarks of as many shards are
 built once a worker, larger ones once for HELD_BYTES. A word pair that no item holds can't lie in a window, so only runs of known pairs that
 are long enough for a window walk through the automaton.
 
@@ -20,20 +20,22 @@ along by `decontaminate`.
 """
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, LOWER, blocks, mix, prefix_hash, span_hash, table, words
+from .common import ALNUM, LOWER, blocks, filesystem, mix, prefix_hash, shared_dir, span_hash, table, words
 
 WINDOW = 10
 SHARD_WORDS = 200_000
 HELD_BYTES = 32 << 20
 KEPT = 3
+MOST_WRITERS = 200
 MAX_SPAN = 200
 MAX_COVERAGE = 0.5
 
@@ -164,38 +166,40 @@ def find_hits(automaton: Automaton, row: np.ndarray, hashes: np.ndarray, hit: np
             items.setdefault(int(row[a]), set()).update(found)
 
 
-def shards(benchmark: DataFrame, limit: int = SHARD_WORDS) -> list[tuple[str, list[tuple[str | None, str]]]]:
-    """The items in shards of at most `limit` words (an item that is longer is a shard), read a
-    partition at a time, each with a name of its own. A benchmark is a stated set of test items,
-    far smaller than any corpus."""
-    out, current, size = [], [], 0
-    for item, text in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
-        n = len(text or "") // 2 + 1
-        if current and size + n > limit:
-            out.append(current)
-            current, size = [], 0
-        current.append((item, text or ""))
-        size += n
-    return [(uuid.uuid4().hex, x) for x in [*out, current] if x]
+def shards(benchmark: DataFrame, limit: int = SHARD_WORDS) -> list[str]:
+    """Folders with the items in shards of about `limit` words (an item that is longer makes its shard
+    larger), written to the shared folder; the driver holds their names only."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    words_of = F.floor(F.octet_length("text") / 2) + 1  # no text has more
+    n = -(-(items.agg(F.sum(words_of)).head()[0] or 0) // limit)
+    if not n:
+        return []
+    folder = shared_dir(benchmark.sparkSession, "benchmark")
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
+    dealt.repartition(min(n, MOST_WRITERS), "shard").sortWithinPartitions("shard").write.partitionBy("shard").parquet(folder)
+    return [f"{folder}/shard={k}" for k in range(n)]
 
 
 _built: dict = {}
 
 
-def _automaton(shard, window: int) -> Automaton:
-    """A worker keeps the KEPT automata that it used last; workers outlive queries, so they are known
-    by the shards' own names."""
-    name, texts = shard.value
-    automaton = _built.pop((name, window), None)
+def _automaton(shard: str, window: int) -> Automaton:
+    """A worker keeps the KEPT automata that it used last, known by their shards' folders, which are new in
+    every run."""
+    automaton = _built.pop((shard, window), None)
     if automaton is None:
+        fs, path = filesystem(shard)
         items = []
-        for item, text in texts:
-            raw = np.frombuffer(text.encode(), np.uint8)
-            items.append((item, text_words(raw, np.array([0, len(raw)]))[3]))
+        for file in fs.get_file_info(FileSelector(path, allow_not_found=True)):  # a shard may have no items
+            if file.path.endswith(".parquet"):
+                for batch in pq.ParquetFile(fs.open_input_file(file.path)).iter_batches(columns=["item", "text"]):
+                    for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                        raw = np.frombuffer(text.encode(), np.uint8)
+                        items.append((item, text_words(raw, np.array([0, len(raw)]))[3]))
         while len(_built) >= KEPT:
             del _built[next(iter(_built))]
         automaton = Automaton(items, window)
-    _built[name, window] = automaton
+    _built[shard, window] = automaton
     return automaton
 
 
@@ -223,8 +227,7 @@ def _scan(column: pa.Array, parts: list, window: int):
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Digest of every document's hits."""
-    spark = docs.sparkSession
-    parts = [spark.sparkContext.broadcast(s) for s in shards(benchmark)]
+    parts = shards(benchmark)
 
     def digest(batches):
         for batch in batches:
@@ -267,8 +270,7 @@ def clean_text(data: bytes, begin, end, hit, max_span: int, max_coverage: float)
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_span: int = MAX_SPAN, max_coverage: float = MAX_COVERAGE, length: str | None = "n_chars") -> DataFrame:
     """The documents without benchmark passages: spans are cut out of the text, and a document goes
     if a span is longer than max_span words or spans cover more than max_coverage of its words."""
-    spark = docs.sparkSession
-    parts = [spark.sparkContext.broadcast(s) for s in shards(benchmark)]
+    parts = shards(benchmark)
     at = docs.columns.index("text")
 
     def clean(batches):
