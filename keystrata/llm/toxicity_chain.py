@@ -33,7 +33,7 @@ TERMS = 400
 STEM_BYTES = (6, 8)
 SKETCH = 8
 FOLDS = 4
-MOST_DOCS = 5000
+MOST_DOCS = 6000
 TOXIC_FROM = 0.5
 LEAST_DOCS = 3
 L2 = 0.3
