@@ -348,3 +348,31 @@ def test_license_headers_and_files(spark):
     got = {r.doc_id: r.own_license for r in license_scan.scan_licenses(files).collect()}
     assert got == {r[0]: r[3] for r in rows}
     assert license_scan.scan_licenses(files.unionByName(spark.createDataFrame([(11, "m/x.py", "print")], files.schema))).where("doc_id = 11").first().license == "MIT"
+
+
+def test_mixing_with_unequal_odds(spark, make_docs):
+    """Documents of importance 3, 1 and a half, and null, against the sampling written out."""
+    rng = random.Random(11)
+    texts = [random_words(rng, rng.randint(0, 60)) for _ in range(240)] + [None]
+    docs = make_docs(texts)
+    importance = lambda i: {0: 3.0, 1: 1.0, 2: 0.5, 3: None}[i % 4]
+    column = mixing.F.when(mixing.F.col("doc_id") % 4 == 0, 3.0).when(mixing.F.col("doc_id") % 4 == 1, 1.0).when(mixing.F.col("doc_id") % 4 == 2, 0.5)
+    rows = mixing.mix_sources(docs, keep=("source",), importance=column).collect()
+    text = dict(enumerate(texts))
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    want = {}
+    for source in {r.source for r in rows}:
+        group, quota = [], None
+        for r in (r for r in rows if r.source == source):
+            u = (int(md5(f"{mixing.SEED}|{r.doc_id}|{md5(text[r.doc_id] or '')}")[:12], 16) + 0.5) / (1 << 48)
+            w = importance(r.doc_id)
+            copies = min(2.0, r.target / r.source_size * (1.0 if w is None else w))
+            whole, p, odds = int(copies), copies - int(copies), u / (1 - u)
+            group.append((odds * (1 - p) / (odds * (1 - p) + p), r.doc_id, r["size"], whole))
+            quota = (r.target if quota is None else quota) - whole * r["size"]
+        upto = 0
+        for _, doc_id, size, whole in sorted(group):
+            upto += size
+            want[doc_id] = size * min(2, whole + (size > 0 and upto - size / 2 <= quota))
+    assert {r.doc_id: r.taken for r in rows} == want
+    assert sum(want[i] for i in want if i % 4 == 0) > sum(want[i] for i in want if i % 4 == 2)
